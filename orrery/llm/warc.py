@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches
+from .common import fresh_path, join_small, small_batches
 
 MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -36,10 +36,10 @@ def classify(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
     """page_id, url, html, digest, and refers_to: the page whose response this row's payload repeats."""
     html = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"))
-    # One row a digest after sums in each task; the join's large side can be split where one digest has very many pages.
+    # One row a repeated digest; while those are few, the pages' texts needn't be exchanged to learn their keeper.
     last = base.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies"))
     last = last.where("copies > 1").drop("copies")
-    both = base.join(last, "digest", "left")
+    both = join_small(base, last, ["digest"], "left")
     refers = F.when((F.col("size") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
     return both.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
