@@ -20,12 +20,17 @@ carried through; an empty table gives an empty result; other columns aren't read
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from types import ModuleType
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import small_batches
@@ -33,36 +38,91 @@ from .common import small_batches
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
 END = 1
-CACHE = 300_000
+CACHE = 250_000
+#: Marks that are no letters, digits or apostrophes, for a regular expression's class.
+MARKS = r".,;:!?#*$%&|<>(){}=+_~@/\-"
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-_RUNS = re.compile(r"[^\x20\x09-\x0D]+")
+_SPECIAL_CASE = re.compile("[ΣİϴKÅΩ]")  # lower-cased by context, or to other lengths
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
 
 
 class CachedTokenizer:
-    """Ids of texts as little-endian uint32 bytes."""
+    """Ids of a batch of texts. Marks are parted from the letters before them (the pre-tokeniser does the same), and distinct runs are
+    looked up once a batch. Runs of letters skip the normaliser and the pre-tokeniser, which would only lower them and map their bytes, and
+    go to the model at once."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [None if _ODD.search(t) else t.split() for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        new = set().union(*[r for r in runs if r]) - cache.keys()
+        self.model_only = Tokenizer.from_file(path)
+        self.model_only.normalizer = self.model_only.pre_tokenizer = None
+        self.runs: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}  # byte-level alphabets name the other bytes 256, 257, ...
+        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in visible)}
+
+    @classmethod
+    def of_process(cls, path: str) -> CachedTokenizer:
+        """Spark reuses Python workers: one tokenizer, with what it has learned, serves all tasks of a process."""
+        here = sys.modules.setdefault("_orrery_tokenizers", ModuleType("_orrery_tokenizers")).__dict__
+        if path not in here:
+            here[path] = cls(path)
+        return here[path]
+
+    def _ids(self, tokenizer, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, runs: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(runs)
+        letters, others = [], []
+        for i, run in enumerate(runs):
+            plain = run.isalpha() and (run.isascii() or (is_normalized("NFC", run) and not _SPECIAL_CASE.search(run)))
+            (letters if plain else others).append(i)
+        given = [runs[i].lower() for i in letters]
+        given = [g if g.isascii() else g.encode().decode("latin-1").translate(self.alphabet) for g in given]
+        for tokenizer, places, names in ((self.model_only, letters, given), (self.tokenizer, others, [runs[i] for i in others])):
+            for k in range(0, len(places), 20_000):
+                for i, b in zip(places[k : k + 20_000], self._ids(tokenizer, names[k : k + 20_000])):
+                    out[i] = b
+        return out
+
+    def _known(self, runs: list[str]) -> list[bytes]:
+        """Ids of distinct runs."""
+        got = list(map(self.runs.get, runs))
+        if self.old:
+            for i, b in enumerate(got):
+                if b is None and (b := self.old.get(runs[i])) is not None:
+                    got[i] = self.runs[runs[i]] = b
+        new = [i for i, b in enumerate(got) if b is None]
         if new:
-            names = list(new)
-            for i in range(0, len(names), 20_000):
-                cache.update(zip(part := names[i : i + 20_000], self._whole(part)))
-        return [self._whole([t])[0] if r is None else b"".join(map(cache.__getitem__, r)) for t, r in zip(texts, runs)]
+            names = [runs[i] for i in new]
+            ids = self._new(names)
+            if len(self.runs) > CACHE:  # two generations: what is in use comes back from the old one
+                self.old, self.runs = self.runs, {}
+            self.runs.update(zip(names, ids))
+            for i, b in zip(new, ids):
+                got[i] = b
+        return got
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        odd = {i for i, t in enumerate(texts) if _ODD.search(t)}
+        usual = pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string())
+        parted = pc.replace_substring_regex(pc.ascii_lower(usual), r"([\p{L}\p{N}])([" + MARKS + "])", r"\1 \2")
+        words = pc.ascii_split_whitespace(parted)
+        coded = words.flatten().dictionary_encode()
+        ids = self._known(coded.dictionary.to_pylist())
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, begin = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(lengths)])
+        n = lengths[place]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = table[np.repeat(begin[place] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[words.offsets.to_numpy()]
+        out = [flat[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+        for i in odd:
+            out[i] = np.frombuffer(self._ids(self.tokenizer, [texts[i]])[0], "<u4")
+        return out
 
 
 class Packer:
@@ -167,7 +227,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() << 33
-        coder, packer = CachedTokenizer(tokenizer_path), Packer(tiers)
+        coder, packer = CachedTokenizer.of_process(tokenizer_path), Packer(tiers)
         kept: dict[int, tuple[int | None, np.ndarray]] = {}
         n_docs = n_seq = step = step_fill = 0
 
@@ -189,13 +249,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
                 return None
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 7 else pa.int64()) for i, c in enumerate(cols)], [x.split()[0] for x in OUT.split(", ")])
 
-        end = np.array([END], "<u4").tobytes()
+        end = np.array([END], "<u4")
         for b in batches:
             new = []
             texts = [t or "" for t in b.column("text").to_pylist()]
             for name, ids in zip(b.column("doc_id").to_pylist(), coder.encode(texts)):
-                kept[n_docs] = (name, np.frombuffer(ids + end, "<u4"))
-                new.append((n_docs, len(ids) // 4 + 1))
+                kept[n_docs] = (name, np.concatenate([ids, end]))
+                new.append((n_docs, len(ids) + 1))
                 n_docs += 1
             if (out := rows(packer.pack(new))) is not None:
                 yield out
