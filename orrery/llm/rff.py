@@ -16,24 +16,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, spill, word_array
+from .common import NON_SPACE, join_small, spill, word_array
 
 STEPS = 1000
 SEED = 20240501
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and ``stats``, an array of figures of the text. One pass, no exchange."""
+def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """row (a struct of the columns in ``keep``) and ``stats``, an array of figures of the text. One pass, no exchange."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NON_SPACE))
-    a = docs.select("doc_id", text.alias("text"), word_array(F.col("text")).alias("words"), lines.alias("lines"))
+    a = docs.select(F.struct(*keep).alias("row"), text.alias("text"), word_array(F.col("text")).alias("words"), lines.alias("lines"))
     count = lambda p: F.regexp_count("text", F.lit(p))
     b = a.select(
-        "doc_id", F.length("text").alias("chars"), F.size("words").alias("n"), F.size("lines").alias("l"),
+        "row", F.length("text").alias("chars"), F.size("words").alias("n"), F.size("lines").alias("l"),
         F.size(F.array_distinct("words")).alias("dw"), F.size(F.array_distinct("lines")).alias("dl"),
         F.size(F.filter("words", lambda w: F.length(w) <= 3)).alias("short"),
         F.size(F.filter("words", lambda w: F.length(w) == 1)).alias("single"),
@@ -47,7 +48,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.log1p("n"), F.log1p("l"), per_word("chars"), per_word("dw"), per_line("dl"), F.log1p(per_line("n")), per_word("short"), per_word("single"),
         F.sqrt(per_char("symbols")), F.sqrt(per_char("bars")), F.sqrt(per_word("stops")), F.sqrt(per_word("commas")), F.sqrt(per_char("digits")), F.sqrt(per_char("capitals")), per_line("ended"),
     ]
-    return b.select("doc_id", F.array(*[c.cast("double") for c in cols]).alias("stats"))
+    return b.select("row", F.array(*[c.cast("double") for c in cols]).alias("stats"))
 
 
 @dataclass
@@ -156,9 +157,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    return labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more. Each row is scored in place, so null and repeated ids need no join."""
+    used = learnable(labels)
+    known = join_small(docs, used.select("doc_id").where("doc_id is not null").distinct(), ["doc_id"], "left_semi")
+    model = fit(statistics(known).select("row.doc_id", "stats"), used)
+
+    def score(stats: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(stats.to_list()).astype(float)) if len(stats) else [], dtype=float)
+
+    scored = statistics(docs, tuple(docs.columns))
+    return scored.where(F.pandas_udf(score, "double")("stats") >= 0.5).select("row.*")
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row. Labels of held-out rows are never read into the fit."""
-    stats = spill(statistics(docs), "rff-stats")
-    used = labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
-    scored = apply(stats, fit(stats, used))
+    stats = spill(statistics(docs).select("row.doc_id", "stats"), "rff-stats")
+    scored = apply(stats, fit(stats, learnable(labels)))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -369,3 +369,9 @@ def group(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     joined = named.join(linked.select(F.col("node").alias("rid"), "component"), "rid", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "rid")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose document comes first in its component; rows without an id or without words stay."""
+    gone = spill(group(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct(), "tree-gone")
+    return join_small(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
