@@ -26,7 +26,9 @@ class QLType:
     args: tuple = ()
 
     def __str__(self) -> str:
-        return f"{self.kind}({', '.join(json.dumps(a) if isinstance(a, str) else str(a) for a in self.args)})" if self.args else self.kind if self.kind != "reference" else str(self.args[0])
+        if self.kind == "reference":
+            return str(self.args[0])
+        return f"{self.kind}({', '.join(json.dumps(a) if isinstance(a, str) else str(a) for a in self.args)})" if self.args else self.kind
 
     @property
     def bare(self) -> QLType:

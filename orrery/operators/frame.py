@@ -269,18 +269,14 @@ def _target(x: Field, dataset: str, source: Source) -> tuple[DataFrame, Column,
         raise QueryError(f"{dataset} can't be resolved here", code="missing_reference")
     target = source.resolve(dataset)
     ident = list(target.identity)
-    f = target.frame()
-    df = f.df
-    for i, n in enumerate(ident):
-        df = df.withColumn(f"__i{i}", col(n))
-    g = f.with_df(df)
+    g = target.frame()
     for c in x.children:
         g.need(c.name, c.span)
     for c in x.children:
         if c.children:
             g = nested(g, c, target)
     found = F.struct(*[col(c.name).alias(c.name) for c in x.children])
-    return g.df.select(*[F.col(f"__i{i}") for i in range(len(ident))], found.alias("__found")), found, ident
+    return g.df.select(*[col(n).alias(f"__i{i}") for i, n in enumerate(ident)], found.alias("__found")), found, ident
 
 
 def _one_reference(f: Frame, x: Field, dataset: str, source: Source) -> Frame:

@@ -59,6 +59,10 @@ class Storage:
                 body = envelope["state"]
             except (ValueError, KeyError):
                 continue
+            except Exception as e:
+                if "ChecksumException" in str(e):  # torn, too
+                    continue
+                raise StorageError(f"{name} can't be read: {e}", code="storage_io") from e
             if envelope.get("checksum") != _checksum(body):
                 continue
             if body.get("format") != FORMAT:
