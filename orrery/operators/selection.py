@@ -138,6 +138,24 @@ class Selection:
 
     __add__, __and__, __sub__, __xor__, __mul__ = union, intersection, difference, symmetric_difference, product
 
+    def refine(self, query: Mapping) -> Selection:
+        """The steps of a query mapping: filter, select, order, offset, limit, then ``pipeline`` ({"method": name, "args": [...], ...}) in its order."""
+        s = self
+        if query.get("filter"):
+            s = s.where(query["filter"])
+        if query.get("select"):
+            s = s.project(*query["select"])
+        if query.get("order"):
+            s = s.order(*query["order"])
+        if query.get("offset") is not None:
+            s = s.offset(query["offset"])
+        if query.get("limit") is not None:
+            s = s.limit(query["limit"])
+        for step in query.get("pipeline", ()):
+            step = dict(step)
+            s = getattr(s, step.pop("method"))(*step.pop("args", ()), **step)
+        return s
+
     def group(self, name: str) -> GroupedSelection:
         return GroupedSelection(self, name)
 
@@ -316,18 +334,8 @@ _SIGNED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 
 
 def _first_keys(f: Frame) -> list:
-    """The least order key of each group: descending numbers are negated; other descending keys keep the greatest alone."""
-    parts = []
-    for k, asc in f.keys:
-        kind = f.df.schema[k].dataType
-        if asc:
-            parts.append(F.col(k).alias(k))
-        elif isinstance(kind, _SIGNED):
-            parts.append((-F.col(k)).alias(k))
-        elif isinstance(kind, (T.TimestampType, T.DateType)):
-            parts.append((-F.unix_timestamp(k)).alias(k))
-        else:
-            parts.append(F.transform(F.split(F.col(k).cast("string"), ""), lambda c: -F.ascii(c)).alias(k))
+    """The least place of each group."""
+    parts = [c.alias(f"r{i}") for i, c in enumerate(X.rank_keys(f))]
     return [F.min(F.struct(*parts)).alias("__first")] if parts else [F.lit(0).alias("__first")]
 
 

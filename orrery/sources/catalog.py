@@ -24,7 +24,7 @@ from ..operators import predicates
 from ..operators.frame import HAS, Frame, Source, col, encode
 from ..operators.selection import Aggregation, GroupedSelection, Selection, located
 from .files import stored
-from .schema import DatasetSchema
+from .schema import MISSING, DatasetSchema
 
 KINDS = {"table": "table", "document": "document", "vector": "vector", "graph": "graph", "kv": "kv", "kvs": "kv"}
 ORD = "__ord"
@@ -365,21 +365,7 @@ class Engine:
                 return [self.execute_query(x) for x in q["queries"]]
         if action != "select":
             raise QueryError(f"unknown action {action!r}", code="unknown_action")
-        s = self.select(q["dataset"])
-        if q.get("filter"):
-            s = s.where(q["filter"])
-        if q.get("select"):
-            s = s.project(*q["select"])
-        if q.get("order"):
-            s = s.order(*q["order"])
-        if q.get("offset") is not None:
-            s = s.offset(q["offset"])
-        if q.get("limit") is not None:
-            s = s.limit(q["limit"])
-        for step in q.get("pipeline", ()):
-            step = dict(step)
-            made = getattr(s, step.pop("method"))(*step.pop("args", ()), **step)
-            s = made
+        s = self.select(q["dataset"]).refine(q)
         return s.explain() if q.get("explain") else s
 
     # -- mutations --------------------------------------------------------------------------------------------------------------------------
@@ -500,23 +486,80 @@ class Engine:
                     raise ConstraintError(f"{', '.join(names)} must be unique", code=code, fields=list(names))
 
     def insert_selection(self, name: str, selection: Selection) -> dict:
-        """The rows of a selection, as they are before the insert."""
+        """The rows of a selection, as they are before the insert. Where its fields suit the schema, rows go from one DataFrame to the other and the constraints are
+        checked by queries; else (references to resolve, values to convert one by one) they pass through the driver like literals."""
 
         def change() -> dict:
             v = self.version(name)
-            if v.schemaless or v.schema.types() != selection.source.fields or selection.nodes:
+            moved = None if v.schemaless else self._suited(v, selection)
+            if moved is None:
                 return self.insert(name, selection.consume())
-            # The same fields: rows go from one DataFrame to the other, and only the constraints are looked at.
-            f = selection.frame(True)
-            n = f.df.count()
-            if n and (v.schema.key or v.schema.uniques or n <= 1000):
-                return self.insert(name, selection.consume())
-            moved = f.df.drop(ORD).withColumn(ORD, F.monotonically_increasing_id() + F.lit(v.next))
-            own = self._frame(v, self.current).df
-            self._put(replace(v, base=stored(own.unionByName(moved.select(*own.columns))), base_fields=v.fields, rows=(), next=v.next + (1 << 50), json_types={k: merge_json(v.json_types.get(k), t) for k, t in selection.source.frame().json_types.items()} | dict(v.json_types), cache={}))
+            new, types = moved
+            new = stored(new)
+            n = new.count()
+            if n:
+                self._check_moved(v, new)
+                own = self._frame(v, self.current).df
+                self._put(replace(v, base=stored(own.unionByName(new.select(*own.columns))), base_fields=v.fields, rows=(), next=v.next + (n << 33), json_types=types, cache={}))
             return {"status": "success", "inserted": n}
 
-        return self._mutate(change)
+        return self._located(change)
+
+    def _suited(self, v: Version, selection: Selection) -> tuple[DataFrame, dict] | None:
+        """The rows as columns of v's schema, in order, or None where single values must be converted."""
+        f = selection.frame(True)
+        unknown = [n for n in f.fields if n not in v.schema.fields]
+        if unknown:
+            raise ConstraintError(f"there is no field {unknown[0]!r}", code="unknown_field", field=unknown[0])
+        types, out = dict(v.json_types), []
+        ids = self._identities(self.current)
+        for n, s in v.schema.fields.items():
+            want = s.type.bare
+            spark_kind = spark_type(want, ids)
+            if n not in f.fields:
+                if s.default is MISSING and not s.cast_type.kind == "nullable":
+                    raise ConstraintError(f"{n} is required", code="required", field=n)
+                if s.default is not MISSING and not _scalar(s.default):
+                    return None
+                out.append((F.lit(None) if s.default is MISSING else F.lit(to_spark(s.default, s.cast_type))).cast(spark_kind).alias(n))
+                continue
+            have = f.fields[n].bare if f.fields[n] is not None else None
+            alike = have is not None and (have == want or {have.kind, want.kind} <= {"char", "str", "text"} or (have.kind, want.kind) == ("int", "float"))
+            if not alike or f.schemaless or references_in(want) and f.df.schema[n].dataType != spark_kind:
+                return None
+            if want.kind == "json":
+                if not isinstance(f.df.schema[n].dataType, T.StringType):
+                    return None
+                if n in f.json_types:
+                    types[n] = merge_json(types.get(n), f.json_types[n])
+            out.append(col(n).cast(spark_kind).alias(n))
+        df = f.sorted().select(*out)
+        return df.withColumn(ORD, F.monotonically_increasing_id() + F.lit(v.next)), types
+
+    def _check_moved(self, v: Version, new: DataFrame) -> None:
+        tests = []
+        for n, s in v.schema.fields.items():
+            c, want = col(n), s.type.bare
+            if s.cast_type.kind != "nullable":
+                tests.append((n, "primary_key_null" if s.pk else "null", c.isNull()))
+            if want.kind == "str":
+                tests.append((n, "type", F.length(c) > want.args[0]))
+            elif want.kind == "char":
+                tests.append((n, "type", F.length(c) != 1))
+            elif want.kind == "enum":
+                tests.append((n, "type", ~c.isin(*want.args)))
+            if s.vector and s.dimension:
+                tests.append((n, "vector_dimension", F.size(c) != s.dimension))
+        if tests:
+            found = new.agg(*[F.count(F.when(t, 1)).alias(f"t{i}") for i, (_, _, t) in enumerate(tests)]).first()
+            for i, (n, code, _) in enumerate(tests):
+                if found[i]:
+                    raise ConstraintError(f"{n}: {found[i]} values don't fit {v.schema.fields[n].type}", code=code, field=n)
+        own = self._frame(v, self.current).df
+        for names, code in ([(v.schema.key, "primary_key")] if v.schema.key else []) + [((u,), "unique") for u in v.schema.uniques]:
+            keys = new.dropna(subset=list(names)).select(*names)
+            if keys.groupBy(*names).count().where("count > 1").limit(1).count() or keys.join(own.select(*names), list(names), "left_semi").limit(1).count():
+                raise ConstraintError(f"{', '.join(names)} must be unique", code=code, fields=list(names))
 
     def update(self, name: str, values: Mapping, predicate: Mapping | None = None) -> dict:
         def change() -> dict:
