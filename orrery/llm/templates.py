@@ -42,15 +42,20 @@ def canonical(token: Column) -> Column:
     return F.when(token.startswith("\x02"), "\x02").when(number, "\x01").when(token.isin(*UNITS), "\x03").otherwise(token)
 
 
-def _window_hashes(template: Column, window: int) -> Column:
-    starts = F.slice(template, 1, F.greatest(F.size(template) - (window - 1), F.lit(0)))
-    return F.transform(starts, lambda t, i: F.xxhash64(t, *[F.get(template, i + k) for k in range(1, window)]))
+def token_hashes(found: Column) -> Column:
+    """Each template token is hashed once; windows then combine eight numbers."""
+    return F.transform(found, lambda t: F.xxhash64(canonical(t)))
+
+
+def _window_hashes(hashes: Column, window: int) -> Column:
+    starts = F.slice(hashes, 1, F.greatest(F.size(hashes) - (window - 1), F.lit(0)))
+    return F.transform(starts, lambda t, i: F.xxhash64(t, *[F.get(hashes, i + k) for k in range(1, window)]))
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     a = benchmark.select("item_id", "text").distinct().select("item_id", tokens(F.col("text")).alias("tokens"))
-    b = a.select("item_id", "tokens", F.transform("tokens", canonical).alias("template"))
-    c = b.select("item_id", "tokens", "template", F.posexplode(_window_hashes(F.col("template"), window)).alias("item_pos", "h"))
+    b = a.select("item_id", "tokens", F.transform("tokens", canonical).alias("template"), token_hashes(F.col("tokens")).alias("hashes"))
+    c = b.select("item_id", "tokens", "template", F.posexplode(_window_hashes(F.col("hashes"), window)).alias("item_pos", "h"))
     part = lambda name: F.slice(name, F.col("item_pos") + 1, window)
     d = c.select("item_id", "item_pos", "h", part("tokens").alias("item_values"), part("template").alias("item_template"))
     return d.where(F.size(F.filter("item_template", lambda t: ~t.isin("\x01", "\x02", "\x03"))) >= window // 2)
@@ -63,15 +68,15 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, enough: in
     small = items.count() <= broadcast_rows
     sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
     texts = docs.select("doc_id", "text")
-    template = texts.select("doc_id", F.transform(tokens(F.col("text")), canonical).alias("template"))
-    every = template.select("doc_id", F.explode(_window_hashes(F.col("template"), window)).alias("h"))
+    hashes = texts.select("doc_id", token_hashes(tokens(F.col("text"))).alias("hashes"))
+    every = hashes.select("doc_id", F.explode(_window_hashes(F.col("hashes"), window)).alias("h"))
     # All windows of all documents meet the benchmark's; what is left is as small as the leaks are.
     hit = spill(every.join(limit(items.select("h").distinct(), small), "h", "left_semi").select("doc_id").distinct(), "template-hits")
     few = join_small(texts, hit, ["doc_id"], "left_semi").distinct()
 
-    a = few.select("doc_id", tokens(F.col("text")).alias("tokens")).select("doc_id", "tokens", F.transform("tokens", canonical).alias("template"))
+    a = few.select("doc_id", tokens(F.col("text")).alias("tokens")).select("doc_id", "tokens", token_hashes(F.col("tokens")).alias("hashes"))
     part = lambda h, i: F.struct(h.alias("h"), i.alias("pos"), F.slice("tokens", i + 1, window).alias("values"))
-    b = a.select("doc_id", "tokens", _window_hashes(F.col("template"), window).alias("hs")).select("doc_id", F.explode(F.transform("hs", part)).alias("w"))
+    b = a.select("doc_id", "tokens", _window_hashes(F.col("hashes"), window).alias("hs")).select("doc_id", F.explode(F.transform("hs", part)).alias("w"))
     pairs = b.select("doc_id", "w.h", "w.pos", "w.values").join(limit(items, small), "h")
     pairs = pairs.withColumn("shift", F.col("pos") - F.col("item_pos"))
     occurrence = ["doc_id", "item_id", "shift"]
