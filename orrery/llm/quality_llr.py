@@ -24,23 +24,28 @@ THRESHOLD = -0.06
 WINDOW = 5
 
 
-def _windows(words: Column, n: int) -> Column:
-    """64-bit hashes of all n-word windows, by start."""
-    starts = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
-    return F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, n)]))
+def _word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _windows(hashes: Column, n: int) -> Column:
+    """64-bit hashes of all n-word windows, by start, from the words' hashes."""
+    starts = F.slice(hashes, 1, F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
+    return F.transform(starts, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, n)]))
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, words, and the base rules' figures. One row per input row."""
+    """doc_id, hashes of the words, and the base rules' figures. One row per input row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NON_SPACE))
     first = docs.select("doc_id", word_array(F.col("text")).alias("words"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("lines"))
-    second = first.select(
-        "doc_id", "words", "n_symbols",
+    hashed = first.withColumn("hashes", _word_hashes(F.col("words")))
+    second = hashed.select(
+        "doc_id", "hashes", "n_symbols",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _windows(F.col("words"), WINDOW).alias("w5"),
+        _windows(F.col("hashes"), WINDOW).alias("w5"),
     )
     third = second.withColumn(
         "pairs",
@@ -59,28 +64,29 @@ def base_columns(docs: DataFrame) -> DataFrame:
     )
     repeated = F.coalesce(covered, F.lit(0).cast("long"))
     return fourth.select(
-        "doc_id", "words", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"),
+        "doc_id", "hashes", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"),
     ).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def _buckets(words: Column, buckets: int) -> Column:
-    both = F.concat(_windows(words, 1), _windows(words, 2))
-    return F.transform(both, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-
-
-def _counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Occurrences per bucket over all documents: summed in each task before the shuffle, at most ``buckets`` rows a task."""
-    words = docs.select(word_array(F.col("text")).alias("words"))
-    return words.select(F.explode(_buckets(F.col("words"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+def _buckets(hashes: Column, buckets: int) -> Column:
+    """Classes of the unigrams and bigrams."""
+    place = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
+    firsts = F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0)))
+    return F.concat(F.transform(hashes, place), F.transform(firsts, lambda h, i: place(F.xxhash64(h, F.get(hashes, i + 1)))))
 
 
 def ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, alpha: float = 1.0) -> DataFrame:
-    """(bucket, ratio) for all buckets; ``buckets`` rows, whatever the corpus size."""
-    ids = trusted_ids.select("doc_id").where("doc_id is not null").distinct()
-    target = join_small(docs, ids, ["doc_id"], "left_semi")
-    raw = {r["bucket"]: r["n"] for r in _counts(docs, buckets).collect()}
-    good = {r["bucket"]: r["n"] for r in _counts(target, buckets).collect()} or raw
+    """(bucket, ratio) for all buckets; ``buckets`` rows, whatever the corpus size. Counts of both corpora come from one pass over all documents, summed in
+    each task before the shuffle: at most ``buckets`` rows a task."""
+    ids = trusted_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("good", F.lit(1))
+    marked = join_small(docs.select("doc_id", "text"), ids, ["doc_id"], "left")
+    grams = marked.select("good", _word_hashes(word_array(F.col("text"))).alias("hashes")).select("good", F.explode(_buckets(F.col("hashes"), buckets)).alias("bucket"))
+    counted = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good")).collect()
+    raw = {r["bucket"]: r["raw"] for r in counted}
+    good = {r["bucket"]: r["good"] for r in counted}
     n_raw, n_good = sum(raw.values()), sum(good.values())
+    if not n_good:
+        good, n_good = raw, n_raw
     rows = [
         (b, math.log((good.get(b, 0) + alpha) / (n_good + alpha * buckets)) - math.log((raw.get(b, 0) + alpha) / (n_raw + alpha * buckets)))
         for b in range(buckets)
@@ -92,7 +98,7 @@ def score_documents(docs: DataFrame, trusted_ids: DataFrame, threshold: float =
     """Every document with its base figures, mean ratio and verdict."""
     weights = ratios(docs, trusted_ids, buckets)
     keep = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    grams = base_columns(docs).select(*keep, F.monotonically_increasing_id().alias("row"), _buckets(F.col("words"), buckets).alias("grams"))
+    grams = base_columns(docs).select(*keep, F.monotonically_increasing_id().alias("row"), _buckets(F.col("hashes"), buckets).alias("grams"))
     # Rows of a document stay in one task, so the sums below shrink to a row per document before anything is shuffled.
     one = grams.select("row", *keep, F.explode_outer("grams").alias("bucket"))
     hit = one.join(F.broadcast(weights), "bucket", "left")  # ``buckets`` rows: a parameter

@@ -17,13 +17,19 @@ SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _seed_hash(words):
-    h = 42
-    for w in words:
-        h = xxhash.xxh64_intdigest(w.encode(), h)
+def _signed(h):
     return h - (1 << 64) if h >> 63 else h
 
 
+def _word_hash(word):
+    return _signed(xxhash.xxh64_intdigest(word.encode(), 42))
+
+
+def _pair_hash(a, b):
+    first = xxhash.xxh64_intdigest(a.to_bytes(8, "little", signed=True), 42)
+    return _signed(xxhash.xxh64_intdigest(b.to_bytes(8, "little", signed=True), first))
+
+
 def _base(text):
     text = text or ""
     words = WORD.findall(text)
@@ -37,8 +43,8 @@ def _base(text):
 
 
 def _grams(text, buckets):
-    words = WORD.findall(text or "")
-    return [_seed_hash(words[i : i + k]) % buckets for k in (1, 2) for i in range(len(words) - k + 1)]
+    h = [_word_hash(w) for w in WORD.findall(text or "")]
+    return [x % buckets for x in h] + [_pair_hash(a, b) % buckets for a, b in zip(h, h[1:])]
 
 
 @pytest.mark.parametrize("source", ["sf", "edge"])
