@@ -1,6 +1,6 @@
 """WARC: writer and reader of ``.warc.zst`` archives with an embedded dictionary.
 
-The dictionary is built from a bounded, documented sample of the records (``sample_rows`` records with the smallest digests,
+The dictionary is built from a bounded, documented sample of the records (about ``sample_rows`` records, chosen by hash, and
 ``sample_bytes`` bytes of each at most: only compression depends on it). Each archive begins with a skippable frame
 (magic 0x184D2A5D) that holds it; every record follows as a frame of its own, so that one can be read alone.
 Records of equal payload are found by digest: the largest page_id of a digest is the response, the others become revisit
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, join_small, small_batches
+from .common import fresh_path, join_small, small_batches, spill
 
 MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -38,7 +38,7 @@ def classify(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
     base = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"))
     # One row a repeated digest; while those are few, the pages' texts needn't be exchanged to learn their keeper.
     last = base.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies"))
-    last = last.where("copies > 1").drop("copies")
+    last = spill(last.where("copies > 1").drop("copies"), "warc-keepers")
     both = join_small(base, last, ["digest"], "left")
     refers = F.when((F.col("size") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
     return both.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
@@ -96,7 +96,7 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "", 1))
 
 
-def write_archives(classified: DataFrame, path: str, sample_rows: int = 1000, sample_bytes: int = 16_384, max_bytes: int = 1 << 30) -> DataFrame:
+def write_archives(classified: DataFrame, path: str, sample_rows: int = 1000, sample_bytes: int = 16_384, max_bytes: int = 1 << 30, total: int | None = None) -> DataFrame:
     """Write archives of at most about ``max_bytes`` below ``path``, and return their manifest, itself stored in ``path``/manifest.
 
     A task writes each archive under a name of its own attempt; only archives of attempts that Spark committed are in the manifest,
@@ -104,7 +104,10 @@ def write_archives(classified: DataFrame, path: str, sample_rows: int = 1000, sa
     """
     spark = classified.sparkSession
     small_batches(spark)
-    sample = classified.orderBy("digest", "page_id").select("page_id", "url", F.substring("html", 1, sample_bytes).alias("html"), "digest", "refers_to").limit(sample_rows).collect()
+    # A hash below a bound picks the sample, so the driver gets about as many rows from any number of partitions.
+    share = sample_rows / max(1, total if total is not None else classified.count())
+    some = classified if share >= 1 else classified.where(F.pmod(F.xxhash64("digest", "page_id"), F.lit(1_000_000_007)) < int(share * 1_000_000_007))
+    sample = some.select("page_id", "url", F.substring("html", 1, sample_bytes).alias("html"), "digest", "refers_to").limit(2 * sample_rows).collect()
     dictionary = train_dictionary([record(*r)[:sample_bytes] for r in sample])
     shared = spark.sparkContext.broadcast(dictionary)  # 64 KB
 
@@ -195,7 +198,7 @@ def read_archives(manifest: DataFrame, uri: str) -> DataFrame:
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     path = fresh_path(spark, "warc")
-    return read_archives(write_archives(classify(pages), path), path)
+    return read_archives(write_archives(classify(pages), path, total=pages.count()), path)
 
 
 def sql_columns(read: DataFrame) -> DataFrame:
