@@ -7,7 +7,7 @@ latest of equals) is the one replied to. Threads are found by pointer doubling,
 with a gapless position. Only the position needs a sort; it is made by ranges, so no conversation has to fit in a task.
 
 Defined cases: a null text counts as empty; null turns, and rows with a null conv_id, are kept but link to nothing (their thread is their turn); of rows with the same conv_id
-and turn each is kept and a quote links to their turn; quotes whose original isn't found are removed all the same; an empty table gives an empty
+and turn each is kept, but they count as one message in links; quotes whose original isn't found are removed all the same; an empty table gives an empty
 result; other columns are carried if their names don't clash with the result's.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spill
+from .common import join_small, spill
 
 MARK = r"^[ \t]*((?:>[ \t]?)+)"
 ADDED = ("reply_to", "thread", "depth", "quote_levels", "n_quoted_lines", "position")
@@ -27,10 +27,10 @@ def normal(line: Column) -> Column:
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """Adds lines: array of (level, body)."""
+    """Adds __lines: array of (level, body)."""
     level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, MARK, 1), F.lit(r"[^>]"), F.lit("")))
     lines = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, F.lit(MARK), F.lit("")).alias("body")))
-    return messages.withColumn("lines", lines)
+    return messages.withColumn("__lines", lines)
 
 
 def _join(lines: Column) -> Column:
@@ -47,71 +47,62 @@ def _hashes(lines: Column) -> Column:
 def link(messages: DataFrame) -> DataFrame:
     """``messages`` with ``text`` free of quotes and the columns of ADDED."""
     columns = [c for c in messages.columns if c not in ADDED]
-    rows = parse(messages.select(*columns).withColumn("__row", F.monotonically_increasing_id()))
-    own = F.filter("lines", lambda x: x["level"] == 0)
-    quoted = F.filter("lines", lambda x: x["level"] > 0)
-    top = F.array_min(F.transform("quoted", lambda x: x["level"]))
-    rows = rows.withColumn("own", own).withColumn("quoted", quoted).withColumn("first_level", F.filter("quoted", lambda x: x["level"] == top))
-    # Numbered once and stored: later reads see the same numbers.
-    rows = spill(
-        rows.select(
-            "__row", *columns, F.when(F.size("quoted") == 0, F.coalesce(F.col("text"), F.lit(""))).otherwise(F.btrim(_join(F.col("own")), F.lit("\n"))).alias("__text"),
-            F.coalesce(F.array_max(F.transform("quoted", lambda x: x["level"])), F.lit(0)).alias("quote_levels"), F.size("quoted").alias("n_quoted_lines"),
-            F.when(F.size("quoted") > 0, _hashes(F.col("first_level"))).alias("__quotes"), _hashes(F.col("own")).alias("__units"),
-        ),
-        "quotes-rows",
-    )
-    links = reply_targets(rows)
-    threads = thread_roots(links)
-    done = rows.join(threads, "__row", "left")
-    done = done.select(
-        "__row", *[F.col("__text").alias("text") if c == "text" else F.col(c) for c in columns], F.col("parent").alias("reply_to"), F.coalesce("root", "turn").alias("thread"),
-        F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), "quote_levels", "n_quoted_lines",
-    )
-    return positions(done).drop("__row")
+    rows = parse(messages.select(*columns))
+    own = F.filter("__lines", lambda x: x["level"] == 0)
+    rows = rows.withColumn("__own", own).withColumn("__quoted", F.filter("__lines", lambda x: x["level"] > 0)).drop("__lines")
+    threads = thread_roots(reply_targets(rows))
+    text = F.when(F.size("__quoted") == 0, F.coalesce(F.col("text"), F.lit(""))).otherwise(F.btrim(_join(F.col("__own")), F.lit("\n")))
+    levels = F.coalesce(F.array_max(F.transform("__quoted", lambda x: x["level"])), F.lit(0))
+    plain = rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], levels.alias("quote_levels"), F.size("__quoted").alias("n_quoted_lines"))
+    done = join_small(plain, threads, ["conv_id", "turn"], "left")
+    done = done.select(*columns, F.col("parent").alias("reply_to"), F.coalesce("root", "turn").alias("thread"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), "quote_levels", "n_quoted_lines")
+    return positions(done)
 
 
 def reply_targets(rows: DataFrame) -> DataFrame:
-    """(__row, conv_id, turn, parent) of the messages that reply to an earlier turn."""
+    """(conv_id, turn, parent) of the messages that reply to an earlier turn."""
     place = ["conv_id", "h", "h2"]
-    asked = rows.where("conv_id is not null and turn is not null and n_quoted_lines > 0").select("__row", "conv_id", "turn", F.explode("__quotes").alias("q")).select("__row", "conv_id", "turn", "q.h", "q.h2", "q.n")
-    units = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("__units").alias("q")).select("conv_id", "turn", "q.h", "q.h2").join(asked.select(*place).distinct(), place, "left_semi").distinct()
-    both = asked.withColumn("source", F.lit(None).cast("long")).unionByName(units.select(F.lit(None).cast("long").alias("__row"), *place, "turn", F.lit(None).cast("int").alias("n"), F.col("turn").cast("long").alias("source")))
+    known = rows.where("conv_id is not null and turn is not null")
+    top = F.array_min(F.transform("__quoted", lambda x: x["level"]))
+    asked = known.where(F.size("__quoted") > 0).withColumn("__top", top).select("conv_id", "turn", F.explode(_hashes(F.filter("__quoted", lambda x: x["level"] == F.col("__top")))).alias("q"))
+    asked = spill(asked.select("conv_id", "turn", "q.h", "q.h2", "q.n"), "quotes-asked")
+    # Of all messages' lines only those that someone quotes are kept.
+    units = known.select("conv_id", "turn", F.explode(_hashes(F.col("__own"))).alias("q")).select("conv_id", "turn", "q.h", "q.h2")
+    units = join_small(units, asked.select(*place).distinct(), place, "left_semi").distinct()
+    both = asked.withColumn("source", F.lit(None).cast("long")).unionByName(units.select(*place, "turn", F.lit(None).cast("int").alias("n"), F.col("turn").cast("long").alias("source")))
     # At one turn questions come before answers, so a message never answers itself.
     order = Window.partitionBy(*place).orderBy("turn", F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("parent", F.last("source", ignorenulls=True).over(order)).where("__row is not null and parent is not null")
-    votes = found.groupBy("__row", "conv_id", "turn", "parent").agg(F.sum("n").alias("n"))
-    return votes.groupBy("__row", "conv_id", "turn").agg(F.max(F.struct("n", "parent"))["parent"].alias("parent"))
+    found = both.withColumn("parent", F.last("source", ignorenulls=True).over(order)).where("source is null and parent is not null")
+    votes = found.groupBy("conv_id", "turn", "parent").agg(F.sum("n").alias("n"))
+    return votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "parent"))["parent"].alias("parent"))
 
 
 def thread_roots(links: DataFrame) -> DataFrame:
-    """(__row, parent, root, depth): pointer doubling over the links, as many rounds as the logarithm of the longest chain."""
-    links = spill(links, "quotes-links")
-    # A turn of several rows points to the least of their parents.
-    state = links.groupBy("conv_id", "turn").agg(F.min("parent").alias("root")).withColumn("depth", F.lit(1).cast("long"))
-    state = spill(state, "quotes-state")
+    """(conv_id, turn, parent, root, depth): pointer doubling over the links, as many rounds as the logarithm of the longest chain."""
+    state = spill(links.select("*", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")), "quotes-links")
     while True:
         up = state.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
         joined = state.join(up, ["conv_id", "root"], "left")
-        state = spill(joined.select("conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "quotes-state")
+        state = spill(joined.select("conv_id", "turn", "parent", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "quotes-links")
         if not state.where("moved").limit(1).count():
-            break
+            return state.drop("moved")
         state = state.drop("moved")
-    top = state.select("conv_id", F.col("turn").alias("parent"), F.col("root").alias("__root"), F.col("depth").alias("__depth"))
-    last = links.join(top, ["conv_id", "parent"], "left")
-    return last.select("__row", "parent", F.coalesce("__root", "parent").alias("root"), (F.coalesce("__depth", F.lit(0)) + 1).cast("long").alias("depth"))
 
 
 def positions(rows: DataFrame) -> DataFrame:
-    """Gapless numbers from 0 in each conversation, by (thread, turn): ranges are numbered by themselves and shifted by the counts before them."""
-    order = ["thread", "turn", "__row"]
-    ranged = spill(rows.repartitionByRange("conv_id", *order).withColumn("__range", F.spark_partition_id()), "quotes-ranges")
-    sizes = ranged.groupBy("conv_id", "__range").agg(F.count(F.lit(1)).alias("size"))
+    """Gapless numbers from 0 in each conversation, by (thread, turn). Rows are dealt by ranges, sorted and numbered there, and stored with these numbers; a
+    conversation's rows in a range are shifted by its rows in the ranges before."""
+    columns = rows.columns
+    order = ["conv_id", "thread", "turn", "__tie"]
+    ranged = rows.withColumn("__tie", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = spill(ranged.select(*columns, F.monotonically_increasing_id().alias("__id"), F.spark_partition_id().alias("__range")), "quotes-ranges")
+    sizes = ranged.groupBy("conv_id", "__range").agg(F.count(F.lit(1)).alias("size"), F.min("__id").alias("first"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("conv_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = sizes.select(F.col("conv_id").alias("__conv"), F.col("__range").alias("__r"), before.alias("__before"))
-    local = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("conv_id", "__range").orderBy(*order)) - 1)
-    joined = local.join(shifts, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("__range") == F.col("__r")))
-    return joined.withColumn("position", (F.col("__before") + F.col("__n")).cast("long")).drop("__conv", "__r", "__range", "__before", "__n")
+    # A null conversation has a key of its own, so that the join finds it.
+    key = lambda c: F.struct(c.isNull().alias("none"), F.coalesce(c.cast("string"), F.lit("")).alias("v"))
+    shifts = spill(sizes.select(key(F.col("conv_id")).alias("__key"), "__range", (before - F.col("first")).alias("__shift")), "quotes-shifts")
+    joined = join_small(ranged.withColumn("__key", key(F.col("conv_id"))), shifts, ["__key", "__range"], "inner")
+    return joined.select(*columns, (F.col("__id") + F.col("__shift")).cast("long").alias("position"))
 
 
 SQL = r"""
