@@ -25,8 +25,8 @@ from .common import spill
 
 KEY = "orrery-demonstration-key"
 #: Titles, and given names by script and gender.
-TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "г-жа", "κα")
-TITLES_M = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "г-н", "κ")
+TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "г-жа", "Г-жа", "κα")
+TITLES_M = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "г-н", "Г-н", "κ")
 TITLES_N = ("Dr", "Prof")
 GIVEN = {
     ("latin", "f"): ("Anna", "Maria", "Sophie", "Laura", "Julia", "Clara", "Elena", "Emma", "Alice", "Carmen", "Camille", "Ingrid"),
@@ -51,7 +51,8 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d)"
-PATTERN = "|".join([MAIL, IP, SECRET, IBAN, SSN, PHONE, CARD, _NAME])
+#: All begin where no letter or digit stands before, which is looked at first; only capitals (and titles in small letters) can begin a name.
+PATTERN = r"(?<![A-Za-z0-9])(?:" + "|".join([MAIL, IP, SECRET, IBAN, SSN, PHONE, CARD, r"(?=[\p{Lu}гκ])" + _NAME]) + ")"
 
 
 def kind_of(entity: Column) -> Column:
