@@ -183,3 +183,20 @@ def test_quality_classifier_edges(spark):
 def test_isotonic_rises():
     _, levels = rff.isotonic(np.arange(5.0), np.ones(5), np.array([0, 1, 0, 1, 1.0]))
     assert list(levels) == [0, 0.5, 1]
+
+
+def test_packer_fills_windows():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(60):
+        packer, seqs, want = packing.Packer(), [], {}
+        for _ in range(rng.randint(1, 5)):
+            docs = [(len(want) + i, rng.randint(1, rng.choice([1, 2, 50, 300, 600, 1500, 3000, 9000]))) for i in range(50)]
+            want |= dict(docs)
+            seqs += packer.pack(docs)
+        seqs += packer.pack([], last=True)
+        assert sum(sum(p[2] for p in pieces) != cap for cap, pieces in seqs) == 0
+        assert sum(cap not in packing.TIERS for cap, _ in seqs) <= 1
+        got = collections.Counter((d, i) for _, pieces in seqs for d, s, n in pieces for i in range(s, s + n))
+        assert got == collections.Counter((d, i) for d, n in want.items() for i in range(n))

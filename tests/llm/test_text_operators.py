@@ -200,7 +200,7 @@ def test_surrogates(spark):
     assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
     assert text[None] == f"ip {b[4]}" and all(0 <= int(x) <= 255 for x in b[4].split("."))
     c = re.search(r"^Mrs\. (\w+) met Mr (\w+) and Mrs (\w+); (\w+) (\w+) wrote\. Г-н (\w+), г-жа (\w+)\. ssn \d{3}-\d{2}-\d{4}$", text[3])
-    assert c[1] == c[3] != c[2] and c[4] in surrogates.GIVEN["latin", "f"] and re.fullmatch(r"[А-Яа-я]+", c[7])
+    assert c[1] == c[3] != c[2] and c[6] != 'Иванов' and c[4] in surrogates.GIVEN["latin", "f"] and re.fullmatch(r"[А-Яа-я]+", c[7])
     assert re.search(r'token = "[0-9a-f]{40}" iban DE[0-9A-Z]{20}$', text[4])
     x, y = text[8].split()
     assert x != y and x.split("@")[1] == y.split("@")[1]
@@ -278,3 +278,12 @@ def test_templates_find_planted_items(spark):
     own = lambda t: {tuple(w[i : i + 8]) for w in [re.findall(r"\w+", t.lower())] for i in range(len(w) - 7)}
     windows = set().union(*map(own, items))
     assert all(own(r["text"]) & windows for r in docs.collect() if r["doc_id"] in got)
+
+
+def test_frequent_shingles_are_bounded(spark, monkeypatch):
+    counts = spark.range(1000).selectExpr("id as token", "60 + id as n")
+    assert sorted(signature_tree.frequent(counts)) == list(range(5, 1000))
+    monkeypatch.setattr(signature_tree, "HOT_LIST", 600)
+    got = sorted(signature_tree.frequent(counts))
+    assert got == list(range(64 * 8 - 60 + 1, 1000)) and len(got) <= 600
+    assert len(signature_tree.frequent(counts.limit(0))) == 0
