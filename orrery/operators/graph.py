@@ -56,7 +56,7 @@ def traverse(start: Frame, label: str, depth: int, predicate: Any, source: Sourc
         if not frontier.limit(1).count():
             break
         reached.append(frontier.withColumn("__level", F.lit(level)))
-        visited = stored(visited.unionByName(frontier.select("__node")))
+        visited = visited.unionByName(frontier.select("__node"))  # tables that are stored already
     if not reached:
         return Frame(nodes.df.limit(0), nodes.keys, nodes.fields, nodes.json_types, nodes.schemaless)
     all_levels = reached[0]
