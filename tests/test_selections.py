@@ -183,3 +183,47 @@ def test_descending_orders_and_firsts(spark):
         assert [g["d"] for g in down.group("d").count().consume()] == list(dict.fromkeys(rows[i]["d"] for i in order))
         assert ids(down.unique()) == order and ids(down.reverse()) == order[::-1]
     assert ids(s.order(("t", "desc"))) == [5, 2, 1, 4, 0, 3]
+
+
+def truth(p, r):
+    """Two-valued evaluation of a predicate over one record."""
+    if "and" in p:
+        return all(truth(q, r) for q in p["and"])
+    if "or" in p:
+        return any(truth(q, r) for q in p["or"])
+    if "not" in p:
+        return not truth(p["not"], r)
+    a, op, b = r[p["field"]], p["op"], p["value"]
+    if op in ("=", "!="):
+        return (a == b) == (op == "=")
+    if op == "in":
+        return a in b
+    if a is None or b is None:
+        return False
+    return {">": lambda: a > b, ">=": lambda: a >= b, "<": lambda: a < b, "<=": lambda: a <= b, "contains": lambda: b in a, "startsWith": lambda: a.startswith(b), "endsWith": lambda: a.endswith(b)}[op]()
+
+
+def test_random_predicates(spark):
+    import random
+
+    rng = random.Random(8)
+    values = {"n": [None, 0, 1, 2, 5], "f": [None, -1.0, 0.5, 2.0, math.nan], "t": [None, "", "a", "ab", "b"]}
+    rows = [{"id": i, **{k: rng.choice(v) for k, v in values.items()}} for i in range(80)]
+    s = table(spark, {"id": "int", "n": "nullable(int)", "f": "nullable(float)", "t": "nullable(text)"}, rows)
+
+    def tree(depth):
+        kind = rng.choice(["and", "or", "not", "leaf"]) if depth else "leaf"
+        if kind in ("and", "or"):
+            return {kind: [tree(depth - 1) for _ in range(rng.randint(1, 3))]}
+        if kind == "not":
+            return {"not": tree(depth - 1)}
+        f = rng.choice("nft")
+        op = rng.choice(["=", "!=", ">", ">=", "<", "<=", "in"] + (["contains", "startsWith", "endsWith"] if f == "t" else []))
+        usual = [v for v in values[f] if v is None or v == v]
+        if op == "in":
+            return {"field": f, "op": op, "value": rng.sample(usual, rng.randint(0, 3))}
+        return {"field": f, "op": op, "value": rng.choice([v for v in usual if v is not None or op not in ("contains", "startsWith", "endsWith")])}
+
+    for _ in range(40):
+        p = tree(3)
+        assert ids(s.where(p)) == [r["id"] for r in rows if truth(p, r)], p
