@@ -43,7 +43,7 @@ class Reference:
     identity: tuple[tuple[str, Any], ...]
 
     def to_dict(self) -> dict:
-        return {"dataset": self.dataset, "identity": dict(self.identity)}
+        return {"$ref": self.dataset, "identity": dict(self.identity)}
 
 
 _TOKEN = re.compile(r"""\s*(?:([A-Za-z_]\w*)|("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(-?\d+(?:\.\d+)?)|([(),]))""")

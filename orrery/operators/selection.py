@@ -138,23 +138,48 @@ class Selection:
 
     __add__, __and__, __sub__, __xor__, __mul__ = union, intersection, difference, symmetric_difference, product
 
-    def refine(self, query: Mapping) -> Selection:
-        """The steps of a query mapping: filter, select, order, offset, limit, then ``pipeline`` ({"method": name, "args": [...], ...}) in its order."""
-        s = self
-        if query.get("filter"):
-            s = s.where(query["filter"])
-        if query.get("select"):
-            s = s.project(*query["select"])
-        if query.get("order"):
-            s = s.order(*query["order"])
-        if query.get("offset") is not None:
-            s = s.offset(query["offset"])
-        if query.get("limit") is not None:
-            s = s.limit(query["limit"])
-        for step in query.get("pipeline", ()):
-            step = dict(step)
-            s = getattr(s, step.pop("method"))(*step.pop("args", ()), **step)
-        return s
+    def refine(self, query: Mapping) -> Selection | GroupedSelection | Aggregation:
+        """The steps of a query mapping. ``filter`` comes first; a ``pipeline`` of {"operation": ...} mappings is followed in its order, and otherwise the keys traverse,
+        similarity, select (or projection), order_by, offset and limit are. ``group_by`` and ``aggregate`` end the query."""
+        s = self.where(query["filter"]) if query.get("filter") else self
+        steps = query.get("pipeline")
+        if steps is None:
+            steps = [{"operation": k, **query[k]} for k in ("traverse", "similarity") if query.get(k)]
+            if query.get("select") or query.get("projection"):
+                steps.append({"operation": "project", "fields": query.get("select"), "projection": query.get("projection")})
+            if query.get("order_by"):
+                steps.append({"operation": "order", "by": query["order_by"]})
+            steps += [{"operation": k, "count": query[k]} for k in ("offset", "limit") if query.get(k) is not None]
+        for step in steps:
+            s = s._mapped(dict(step))
+        made: Any = s.group(query["group_by"]) if query.get("group_by") else s
+        if query.get("aggregate"):
+            made = made.aggregate(query["aggregate"]["operation"], query["aggregate"].get("field"))
+        return made
+
+    def _mapped(self, step: dict) -> Selection:
+        what = step.pop("operation", None)
+        if what == "where":
+            return self.where(step["predicate"])
+        if what == "project":
+            return self.project(tree=tuple(map(_tree, step["projection"]))) if step.get("projection") else self.project(*step["fields"])
+        if what == "order":
+            if "by" in step:
+                return self.order(*[(b["field"], b.get("direction", "asc")) for b in step["by"]])
+            return self.order(*[(n, step.get("direction", "asc")) for n in step.get("fields") or [step["field"]]])
+        if what in ("limit", "offset"):
+            return getattr(self, what)(step["count"])
+        if what in ("unique", "distinct"):
+            return self.unique(*step.get("fields", ()))
+        if what == "reverse":
+            return self.reverse()
+        if what in ("flatten", "expand"):
+            return getattr(self, what)(step["field"])
+        if what == "similarity":
+            return self.similarity(step["field"], step["vector"], metric=step.get("metric", "cosine"))
+        if what == "traverse":
+            return self.traverse(step["label"], depth=step.get("depth", 1), predicate=step.get("predicate"))
+        raise QueryError(f"unknown operation {what!r}", code="unknown_operation")
 
     def group(self, name: str) -> GroupedSelection:
         return GroupedSelection(self, name)
@@ -276,6 +301,13 @@ class Selection:
     __hash__ = None  # type: ignore[assignment]
 
 
+def _tree(item: Any) -> P.Field:
+    """A projected field given as a name, a Field, or {"name": ..., "children": [...]}."""
+    if isinstance(item, P.Field):
+        return item
+    return P.Field(item) if isinstance(item, str) else P.Field(item["name"], tuple(map(_tree, item.get("children", ()))), item.get("span"))
+
+
 def record(row: T.Row, f: Frame) -> dict:
     values = row.asDict()
     has = values.pop(HAS, None)

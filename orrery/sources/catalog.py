@@ -346,23 +346,25 @@ class Engine:
     # -- queries as mappings ----------------------------------------------------------------------------------------------------------------
 
     def execute_query(self, query: Mapping) -> Any:
-        """A query as a mapping with ``action`` (create_dataset, insert, insert_selection, add_link, select, update, delete, batch)."""
-        q, action = dict(query), query.get("action")
+        """A query as a mapping with ``action``: create_dataset, insert, insert_selection, add_link, select, update, delete, batch (or transaction)."""
+        q, action = query, query.get("action")
+        chosen = lambda x: x if isinstance(x, Selection) else self.execute_query(x)
         if action == "create_dataset":
-            return self.create_dataset(q["dataset"], q.get("type", "graph"), q.get("schema"))
+            return self.create_dataset(q.get("name") or q["dataset"], q.get("type", "graph"), q.get("schema"))
         if action == "insert":
-            return self.insert(q["dataset"], q["values"])
+            return self.insert(q["dataset"], q["objects"])
         if action == "insert_selection":
-            return self.insert_selection(q["dataset"], q["selection"])
+            return self.insert_selection(q["dataset"], chosen(q["source"]))
         if action == "add_link":
-            return self.add_link(q["source"], q["target"], label=q["label"], bidir=q.get("bidir", False), data=q.get("data"))
+            p = q["properties"]
+            return self.add_link(chosen(q["source"]), chosen(q["target"]), label=p["label"], bidir=p.get("bidir", False), data=p.get("data"))
         if action == "update":
             return self.update(q["dataset"], q["values"], q.get("filter"))
         if action == "delete":
             return self.delete(q["dataset"], q.get("filter"))
-        if action == "batch":
+        if action in ("batch", "transaction"):
             with self.transaction():
-                return [self.execute_query(x) for x in q["queries"]]
+                return [self.execute_query(x) for x in q.get("queries", ())]
         if action != "select":
             raise QueryError(f"unknown action {action!r}", code="unknown_action")
         s = self.select(q["dataset"]).refine(q)
