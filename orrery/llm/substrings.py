@@ -210,6 +210,13 @@ def spans(marked: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, place[row] - (past - 1), place[row] - first + LENGTH
 
 
+def spread(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Keys that deal rows out evenly."""
+    h = doc.astype(np.uint64) * np.uint64(_BASE) + place.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
 def _class_columns(text: Column) -> list[Column]:
     return [F.xxhash64(text, F.lit(0)).alias("c1"), F.xxhash64(text, F.lit(1)).alias("c2")]
 
@@ -220,7 +227,9 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def repeated_anchors(texts: DataFrame) -> DataFrame:
-    """(doc, place, h) of the anchors whose hash occurs more than once."""
+    """(doc, place, h) of the anchors whose hash occurs more than once.
+
+    A hash that occurs several times in a batch is known to: one of its rows is sent on under the hash, and the others go anywhere."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,35 +240,48 @@ def repeated_anchors(texts: DataFrame) -> DataFrame:
                 places.append(place.astype(np.int64))
                 hashes.append(h.view(np.int64))
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, docs, places)], ["h", "doc", "place"])
+                h, doc, place = (np.concatenate(x) for x in (hashes, docs, places))
+                _, first, which, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                sure = n[which] > 1
+                other = sure.copy()
+                other[first] = False
+                route = np.where(other, spread(doc, place), h)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (route, h, doc, place, sure)], ["route", "h", "doc", "place", "sure"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.Table | None = None
+        last: tuple[pa.Table, bool] | None = None  # the last row, which the next one may repeat, and whether it was given out
         for b in batches:
             if not len(b):
                 continue
-            t = pa.Table.from_batches([b]) if last is None else pa.concat_tables([last[0], pa.Table.from_batches([b])])
+            t = pa.Table.from_batches([b])
             told = last is not None and last[1]
-            h = t.column("h").to_numpy()
-            same = h[1:] == h[:-1]
-            keep = np.zeros(len(h), bool)
+            if last is not None:
+                t = pa.concat_tables([last[0], t])
+            route = t.column("route").to_numpy()
+            same = route[1:] == route[:-1]
+            keep = t.column("sure").to_numpy().copy()
             keep[1:] |= same
             keep[:-1] |= same
-            if last is not None and told:
+            last = (t.slice(len(route) - 1), bool(keep[-1]) or (len(route) == 1 and told))
+            if told:
                 keep[0] = False
-            last = (t.slice(len(h) - 1), bool(keep[-1]) or (len(h) == 1 and told))
-            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+            yield from t.filter(pa.array(keep)).select(["h", "doc", "place"]).combine_chunks().to_batches()
 
-    found = texts.select("doc", "text").mapInArrow(find, "h long, doc long, place long")
-    return found.repartition("h").sortWithinPartitions("h").mapInArrow(again, "h long, doc long, place long")
+    found = texts.select("doc", "text").mapInArrow(find, "route long, h long, doc long, place long, sure boolean")
+    return found.repartition("route").sortWithinPartitions("route").mapInArrow(again, "h long, doc long, place long")
+
+
+CONTEXT = "h long, doc long, c1 long, place long, left int, right int, context binary, start long, stop long"
 
 
 def contexts(texts: DataFrame) -> DataFrame:
-    """texts: (doc, c1, text, at: array of (place, h)). A row per kept anchor with the bytes around it."""
+    """texts: (doc, c1, text, at: array of (place, h)). A row per kept anchor with the bytes around it. Of equal contexts in a batch only the earliest is
+    sent on; the others are repeated whatever else there is, and give their span at once (start, stop; no context)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            first: dict[tuple, tuple] = {}
+            direct: list[tuple] = []
             for doc, c1, text, at in zip(*[b.column(c).to_pylist() for c in ("doc", "c1", "text", "at")]):
                 data = text.encode("utf-8", "surrogatepass")
                 padded = bytes(REACH) + data + bytes(LENGTH)
@@ -267,12 +289,25 @@ def contexts(texts: DataFrame) -> DataFrame:
                     place = p["place"]
                     if place + GRAM > len(data):
                         continue
-                    for c, v in zip(cols, (p["h"], doc, c1, place, min(place, REACH), min(len(data) - place, LENGTH), padded[place : place + REACH + LENGTH])):
-                        c.append(v)
-            types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["h", "doc", "c1", "place", "left", "right", "context"])
-
-    return texts.mapInArrow(run, "h long, doc long, c1 long, place long, left int, right int, context binary")
+                    left, right = min(place, REACH), min(len(data) - place, LENGTH)
+                    key, own = (p["h"], left, right, padded[place : place + REACH + LENGTH]), (doc, c1, place)
+                    known = first.setdefault(key, own)
+                    if known == own:
+                        continue
+                    if own < known:
+                        first[key], own = own, known
+                    if left + right >= LENGTH:
+                        direct.append((*own, own[2] - left, own[2] - max(0, LENGTH - right) + LENGTH))
+            cols = [[] for _ in range(9)] if not first else [list(c) for c in zip(*[(h, *own, left, right, context, None, None) for (h, left, right, context), own in first.items()])]
+            if direct:
+                doc, c1, place, start, stop = (list(c) for c in zip(*direct))
+                none = [None] * len(direct)
+                for c, more in zip(cols, (spread(np.array(doc), np.array(place)).tolist(), doc, c1, place, none, none, none, start, stop)):
+                    c += more
+            types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()] + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in CONTEXT.split(", ")])
+
+    return texts.mapInArrow(run, CONTEXT)
 
 
 SPAN = "doc long, c1 long, start long, stop long"
@@ -321,6 +356,10 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         held: list[pa.RecordBatch] = []
         n = 0
         for b in batches:
+            done = b.filter(b.column("context").is_null())
+            if len(done):
+                yield done.select(["doc", "c1", "start", "stop"])
+                b = b.filter(b.column("context").is_valid())
             held.append(b)
             n += len(b)
             if n < CHUNK:
