@@ -6,10 +6,10 @@ the least doc_id it can reach over links. No link is lost:
 1. Documents of equal sets are one class, named by its least doc_id.
 2. A set's prefix under a global order of shingles holds ``size - ceil(percent * size / 100) + 1`` of them, so linked sets share a prefix shingle. The
    order is by hash, with shingles that occur in the prefixes of more than ``HOT`` documents moved to the end: this keeps common passages from
-   meeting, and any order gives the same links. (At most ``HOT_LIST`` shingles are moved, the most frequent ones.)
+   meeting, and any order gives the same links. (At most ``HOT_LIST`` shingles are moved: where more are that frequent, the bound is doubled until they fit.)
 3. In each bucket (the classes of one prefix shingle) a signature tree over bitmaps and sizes is joined with itself. Node pairs are dropped whose sizes are too
-   far apart or whose OR-combined bitmaps allow too small an overlap. What is left are candidate links; only those that join what isn't joined yet are kept. Buckets of more than ``BLOCK``
-   classes are split, and their classes are candidates of each other.
+   far apart or whose OR-combined bitmaps allow too small an overlap. What is left are candidate links; only those that join what isn't joined yet are kept. In buckets of more than ``BLOCK``
+   classes all are candidates of each other without a test.
 4. Connected candidates form clusters, usually a few documents. Their whole sets come together in blocks, a second tree is joined with itself (or with
    that of each other block of the same cluster), and pairs that the bound leaves are verified exactly. A node pair whose documents are joined already is skipped, so a dense group of n near copies costs
    about n verifications, not n squared.
@@ -38,9 +38,10 @@ from .shingles import shingle_sets
 HOT = 64
 HOT_LIST = 65_536
 BLOCK = 2048
+SPREAD = 16
 BLOCK_TOKENS = 2_000_000
 LEAF = 8
-SIGNATURE = "doc_id long, n long, k1 long, k2 long, bits binary, prefix array<long>"
+SIGNATURE = "row long, doc_id long, n long, k1 long, k2 long, bits binary, prefix array<long>"
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -219,10 +220,13 @@ def count_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def signatures(docs: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame:
-    """hot: sorted uint64 shingles that come last in the order."""
+    """hot: sorted uint64 shingles that come last in the order. Rows are numbered, so that a repeated one can be told from another."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 33
         for b in batches:
             n, k1, k2, bits, prefix = [], [], [], [], []
             for s in shingle_sets(b.column("text").to_pylist(), k):
@@ -238,9 +242,11 @@ def signatures(docs: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFr
                 k2.append(int(digest[1]))
                 bits.append(bitmap(s) if len(s) else None)
                 prefix.append(head.view(np.int64))
+            row = np.arange(at, at + len(n))
+            at += len(n)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "n", "k1", "k2", "bits", "prefix"],
+                [pa.array(row), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                ["row", "doc_id", "n", "k1", "k2", "bits", "prefix"],
             )
 
     return _texts(docs).mapInArrow(run, SIGNATURE)
@@ -270,11 +276,11 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list
 
 
 def candidate_links(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: (token, salt, rid, n, bits). Candidate links (a, b) that join what isn't joined yet in the task."""
+    """rows: (token, rid, n, bits). Candidate links (a, b) that join what isn't joined yet in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joiner, known, names = Joiner(percent), {}, []
-        for _, _, rids, sizes, raws in _groups(batches, 2):
+        for _, rids, sizes, raws in _groups(batches, 1):
             if len(rids) < 2:
                 continue
             docs = []
@@ -288,7 +294,7 @@ def candidate_links(rows: DataFrame, percent: int) -> DataFrame:
             a, b = zip(*joiner.links)
             yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in a], pa.int64()), pa.array([names[x] for x in b], pa.int64())], ["a", "b"])
 
-    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(run, "a long, b long")
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long")
 
 
 def sets_of(texts: DataFrame, k: int) -> DataFrame:
@@ -336,28 +342,41 @@ def verified_links(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
 
 
+def frequent(counts: DataFrame) -> np.ndarray:
+    """The tokens counted more than HOT times, or more than the least HOT * 2**i for which HOT_LIST of them remain at most."""
+    often = spill(counts.where(F.col("n") > HOT), "tree-frequent")
+    step = F.floor(F.log2((F.col("n") - 1) / HOT)).cast("int").alias("step")
+    left, bound = {r["step"]: r["count"] for r in often.groupBy(step).count().collect()}, 0
+    while sum(n for i, n in left.items() if i >= bound) > HOT_LIST:
+        bound += 1
+    return often.where(F.col("n") > HOT * 2**bound).select("token").toPandas()["token"].to_numpy(np.int64)
+
+
 def group(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    small_batches(docs.sparkSession, 1000)
-    hot = count_prefixes(docs, k, percent).where(F.col("n") > HOT).orderBy(F.col("n").desc(), "token").limit(HOT_LIST).select("token").toPandas()["token"].to_numpy(np.int64)
+    small_batches(docs.sparkSession, 500, 8)
+    hot = frequent(count_prefixes(docs, k, percent))
     sig = spill(signatures(docs, np.sort(hot.view(np.uint64)), k, percent), "tree-signatures")
 
     ids = sig.where("n > 0 and doc_id is not null")
-    classes = spill(ids.groupBy("k1", "k2").agg(F.min("doc_id").alias("rid")), "tree-classes")
-    first = ids.join(classes.select(F.col("rid").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
-    # A doc_id of several different texts stands for all of them: links of any are links of the id.
-    rows = first.select(F.col("doc_id").alias("rid"), F.explode("prefix").alias("token"))
+    classes = ids.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("k1", "k2", F.col("first.doc_id").alias("rid"), F.col("first.row").alias("row"))
+    classes = spill(classes, "tree-classes")
+    # One row stands for each class. While classes are few, signatures needn't be exchanged to find these rows.
+    first = join_small(sig, classes.select("row"), ["row"], "left_semi")
+    rows = first.select(F.col("row").alias("rid"), F.explode("prefix").alias("token"))
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("rid").alias("head")).where("df > 1")
     shared = spill(rows.join(counts, "token"), "tree-shared")
-    payload = first.select(F.col("doc_id").alias("rid"), "n", "bits")
-    salt = F.when(F.col("df") > BLOCK, F.pmod(F.xxhash64("rid"), F.ceil(F.col("df") / BLOCK)).cast("int")).otherwise(0)
-    bucket = shared.where(F.col("df") <= BLOCK).select("rid", "token", salt.alias("salt")).join(payload, "rid").select("token", "salt", "rid", "n", "bits")
+    payload = first.select(F.col("row").alias("rid"), "doc_id", "n", "bits")
+    bucket = shared.where(F.col("df") <= BLOCK).select("rid", "token").join(payload, "rid").select("token", "rid", "n", "bits")
     coarse = shared.where(F.col("df") > BLOCK).select(F.col("rid").alias("a"), F.col("head").alias("b"))
     clusters = spill(components(candidate_links(bucket, percent).unionByName(coarse)), "tree-clusters")
 
     weights = clusters.join(payload, F.col("node") == F.col("rid")).groupBy("component").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("c"))
-    parts = F.greatest(F.ceil(F.col("w") / BLOCK_TOKENS), F.ceil(F.col("c") / BLOCK)).cast("int")
-    members = spill(clusters.join(weights.select("component", parts.alias("parts")), "component").select(F.col("node").alias("rid"), F.col("component").alias("cluster"), "parts"), "tree-members")
+    # Up to SPREAD parts clusters are cut small, so that many tasks share them; larger ones into blocks of BLOCK, so that rows are repeated less.
+    parts = F.greatest(F.ceil(F.col("w") / BLOCK_TOKENS), F.ceil(F.col("c") / BLOCK), F.least(F.ceil(F.col("c") / (BLOCK // 8)), F.lit(SPREAD))).cast("int")
+    members = clusters.join(weights.select("component", parts.alias("parts")), "component").join(payload.select(F.col("rid").alias("node"), "doc_id"), "node")
+    # From here on documents go by their ids; one of several texts brings all of them, and a link of any is its own.
+    members = spill(members.select(F.col("doc_id").alias("rid"), F.col("component").alias("cluster"), "parts").distinct(), "tree-members")
     texts = join_small(_texts(docs).withColumnRenamed("doc_id", "rid"), members, ["rid"], "inner")
     sets = sets_of(texts, k).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
     # A cluster of p parts makes p (p + 1) / 2 tasks; nearly all clusters are one part.
@@ -365,7 +384,7 @@ def group(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     blocks = sets.select("cluster", "part", "rid", "tokens", other).select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rid", "tokens")
     linked = components(verified_links(blocks, percent))
 
-    named = sig.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    named = sig.select("doc_id", "n", "k1", "k2").join(classes.drop("row"), ["k1", "k2"], "left")
     joined = named.join(linked.select(F.col("node").alias("rid"), "component"), "rid", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "rid")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
