@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import DiagnosticError, PredicateError, QueryError, SchemaError, Span, TraversalError, UnknownFieldError
-from ..functions.types import NUMERIC, ORDERABLE, QLType, from_spark
+from ..errors import DiagnosticError, QueryError, SchemaError, Span, TraversalError
+from ..functions.types import NUMERIC, ORDERABLE, from_spark
 from ..plans import nodes as P
 from ..plans.rewrite import rewrite
 from . import frame as X
@@ -427,5 +427,3 @@ class Aggregation:
 
 
 F_SUM = {T.LongType: "bigint", T.IntegerType: "bigint", T.ShortType: "bigint", T.ByteType: "bigint", T.DecimalType: "decimal(38,18)"}
-
-__all__ = ["Aggregation", "GroupedSelection", "PredicateError", "QLType", "Selection", "Source", "UnknownFieldError", "located", "record"]

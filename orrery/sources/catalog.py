@@ -7,7 +7,6 @@ A version is a base DataFrame plus a short list of literal rows that were added
 from __future__ import annotations
 
 import itertools
-import json
 import uuid as uuid_module
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
@@ -22,7 +21,7 @@ from ..errors import ConstraintError, QueryError, ReferenceError_, SchemaError,
 from ..functions.types import QLType, Reference, cast_value, infer_type, of_spark, spark_type, to_spark
 from ..operators import predicates
 from ..operators.frame import HAS, Frame, Source, col, encode
-from ..operators.selection import Aggregation, GroupedSelection, Selection, located
+from ..operators.selection import Selection, located
 from .files import stored
 from .schema import MISSING, DatasetSchema
 
@@ -849,6 +848,3 @@ def _hashable(x: Any) -> bool:
 
 def _scalar(x: Any) -> bool:
     return not isinstance(x, (dict, list, tuple, set, Reference, Selection))
-
-
-__all__ = ["Aggregation", "Engine", "GroupedSelection", "KeyValue", "Version", "json"]
