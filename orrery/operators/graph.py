@@ -38,6 +38,8 @@ def traverse(start: Frame, label: str, depth: int, predicate: Any, source: Sourc
     steps = stored(forward.unionByName(back))
     nodes = source.frame()
     ids = nodes.df.select(F.col("id").alias("__to"))
+    if depth > 1:  # looked at in every level
+        ids = stored(ids)
 
     if ordered:
         # The order of the starting rows; they are as few as what was selected.
