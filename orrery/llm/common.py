@@ -60,3 +60,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int = 1_000_000) -> DataFrame:
     """Join with a broadcast of ``small`` if it was counted to have at most ``rows`` rows, else by a shuffle."""
     return big.join(F.broadcast(small) if small.count() <= rows else small, on, how)
+
+
+def tidy(run):
+    """A function over Arrow batches that gives its memory back at the end: Python workers stay for later stages, and would keep it."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped

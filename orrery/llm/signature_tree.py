@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, small_batches, spill
+from .common import join_small, small_batches, spill, tidy
 from .components import components
 from .shingles import shingle_sets
 
@@ -216,7 +216,7 @@ def count_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 token, n = np.unique(np.concatenate(got), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
-    return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def signatures(docs: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -249,7 +249,7 @@ def signatures(docs: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFr
                 ["row", "doc_id", "n", "k1", "k2", "bits", "prefix"],
             )
 
-    return _texts(docs).mapInArrow(run, SIGNATURE)
+    return _texts(docs).mapInArrow(tidy(run), SIGNATURE)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, list[list]]]:
@@ -294,7 +294,7 @@ def candidate_links(rows: DataFrame, percent: int) -> DataFrame:
             a, b = zip(*joiner.links)
             yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in a], pa.int64()), pa.array([names[x] for x in b], pa.int64())], ["a", "b"])
 
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long")
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(tidy(run), "a long, b long")
 
 
 def sets_of(texts: DataFrame, k: int) -> DataFrame:
@@ -305,7 +305,7 @@ def sets_of(texts: DataFrame, k: int) -> DataFrame:
             sets = [s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("parts"), b.column("rid"), pa.array(sets, pa.binary())], ["cluster", "parts", "rid", "tokens"])
 
-    return texts.select("cluster", "parts", "rid", "text").mapInArrow(run, "cluster long, parts int, rid long, tokens binary")
+    return texts.select("cluster", "parts", "rid", "text").mapInArrow(tidy(run), "cluster long, parts int, rid long, tokens binary")
 
 
 def verified_links(blocks: DataFrame, percent: int) -> DataFrame:
@@ -339,7 +339,7 @@ def verified_links(blocks: DataFrame, percent: int) -> DataFrame:
                 a, b = zip(*joiner.links)
                 yield pa.RecordBatch.from_arrays([pa.array([rids[x] for x in a], pa.int64()), pa.array([rids[x] for x in b], pa.int64())], ["a", "b"])
 
-    return blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
+    return blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(tidy(run), "a long, b long")
 
 
 def frequent(counts: DataFrame) -> np.ndarray:
