@@ -44,15 +44,16 @@ SYLLABLES = {
 _T = "|".join([*TITLES_F, *TITLES_M, *TITLES_N])
 _G = "|".join(n for names in GIVEN.values() for n in names)
 _NAME = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_T})\.? (?:(?:{_G}) )?\p{{Lu}}\p{{L}}+|(?:{_G}) \p{{Lu}}\p{{L}}+)"
-MAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+MAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
 SECRET = r"(?<![A-Za-z0-9])(?:(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}|(?:sk|ghp|AKIA|xox[bp])[-_]?[A-Za-z0-9]{16,})(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d)"
-#: All begin where no letter or digit stands before, which is looked at first; only capitals (and titles in small letters) can begin a name.
-PATTERN = r"(?<![A-Za-z0-9])(?:" + "|".join([MAIL, IP, SECRET, IBAN, SSN, PHONE, CARD, r"(?=[\p{Lu}гκ])" + _NAME]) + ")"
+#: Secrets, IBANs and names begin where no letter or digit stands before; numbers may be glued to a word, and mail addresses begin anywhere. What
+#: an alternative can begin with is looked at first: only capitals (and titles in small letters) can begin a name.
+PATTERN = "|".join([MAIL, rf"(?<![A-Za-z0-9])(?:{SECRET}|{IBAN})", rf"(?=[\d+(])(?:{IP}|{SSN}|{PHONE}|{CARD})", r"(?=[\p{Lu}гκ])" + _NAME])
 
 
 def kind_of(entity: Column) -> Column:

@@ -209,6 +209,14 @@ def test_surrogates(spark):
     assert surrogates.replace(edge.empty(spark)).count() == 0 and surrogates.replace(edge.documents(spark)).count() == 14
 
 
+def test_surrogates_glued_to_a_word(spark):
+    glued = [("SSN", "123-45-6789"), ("card", "4485168114407329"), ("ip", "10.20.30.40"), ("fax", "017-555-7713"), ("tel", "+1 (017) 555-7713"), ("", "q" * 70 + "@mail7.example.com")]
+    docs = spark.createDataFrame([(i, f"see {word}{number}.") for i, (word, number) in enumerate(glued)], "doc_id long, text string")
+    for r in surrogates.replace(docs).collect():
+        word, number = glued[r["doc_id"]]
+        assert r["n_entities"] == 1 and r["text"].startswith(f"see {word}") and number[-14:] not in r["text"], r
+
+
 def test_surrogate_collisions(spark):
     """Nearly all short numbers are taken: attempts go on until every entity has one of its own that is no entity."""
     names = spark.range(600).selectExpr("'ssn' as kind", "lpad(cast(id as string), 3, '0') as canon")
