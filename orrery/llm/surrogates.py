@@ -1,7 +1,7 @@
 """PII: surrogate generation. DataFrame functions only.
 
 Entities (mail and IPv4 addresses, card and social-security numbers, IBANs, phone numbers, secrets, personal names) are found by one
-pattern. All mentions of an entity share a canonical form (digits of a number, lower-case address, name without title), and the surrogate
+pattern. All mentions of an entity share a canonical form (digits of a number, with plus and country code if a phone's has them, lower-case address, name without title), and the surrogate
 is a keyed hash of that form alone: mentions stay coreferent over all documents, whatever their format. Surrogates keep the
 type and format: digits for digits with separators and country code in place, the Luhn check where it held, hexadecimal for hexadecimal, and for
 names the title, the number of words, the script and the gender that title or given name show.
@@ -55,6 +55,9 @@ PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d
 #: an alternative can begin with is looked at first: only capitals (and titles in small letters) can begin a name.
 PATTERN = "|".join([MAIL, rf"(?<![A-Za-z0-9])(?:{SECRET}|{IBAN})", rf"(?=[\d+(])(?:{IP}|{SSN}|{PHONE}|{CARD})", r"(?=[\p{Lu}гκ])" + _NAME])
 
+#: Country code of a canonical phone number, by the E.164 zones; the same with and without separators behind it.
+CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 
 def kind_of(entity: Column) -> Column:
     whole = lambda p: entity.rlike(f"^(?:{p})$")
@@ -71,7 +74,8 @@ def _bare_name(entity: Column) -> Column:
 def canonical(entity: Column, kind: Column) -> Column:
     digits = F.regexp_replace(entity, F.lit(r"\D"), F.lit(""))
     name = F.concat(gender_of(entity), F.lit(":"), F.lower(_bare_name(entity)))
-    return F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", F.regexp_replace(entity, F.lit(" "), F.lit(""))).when(kind == "name", name).otherwise(F.when(kind == "mail", F.lower(entity)).otherwise(entity))
+    phone = F.concat(F.when(entity.startswith("+"), "+").otherwise(""), digits)
+    return F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.regexp_replace(entity, F.lit(" "), F.lit(""))).when(kind == "name", name).otherwise(F.when(kind == "mail", F.lower(entity)).otherwise(entity))
 
 
 def gender_of(entity: Column) -> Column:
@@ -128,6 +132,8 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     zero = F.concat(F.expr("substring(plain, 1, length(plain) - 1)"), F.lit("0"))
     luhn = F.concat(F.expr("substring(plain, 1, length(plain) - 1)"), F.pmod(10 - _luhn_sum(zero) % 10, F.lit(10)).cast("string"))
     card = F.when(_luhn_sum(F.col("canon")) % 10 == 0, luhn).otherwise(F.col("plain"))
+    code = F.regexp_extract("canon", CODE, 0)
+    phone = F.concat(code, _digits(F.substr("canon", F.length(code) + 1), F.col("h")))
     hexed = F.expr("substring(repeat(h, cast(ceil(length(canon) / 128) as int)), 1, length(canon))")
     secret = F.when(F.col("canon").rlike("^[0-9a-f]+$"), hexed).when(F.col("canon").rlike("^[0-9A-F]+$"), F.upper(hexed)).when(F.col("canon").rlike("^[0-9a-fA-F]+$"), hexed).otherwise(
         F.concat(F.regexp_extract("canon", r"^(sk|ghp|AKIA|xox[bp])[-_]?", 0), _charwise(F.regexp_replace("canon", F.lit(r"^(sk|ghp|AKIA|xox[bp])[-_]?"), F.lit("")), F.col("h")))
@@ -143,7 +149,7 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
             given = F.when((script == s) & (F.when(gender == "n", F.when(_nibbles(F.col("h"), F.lit(9), 2) == 0, "f").otherwise("m")).otherwise(gender) == g), pick(GIVEN[s, g], 2)).otherwise(given)
     named = F.concat(gender, F.lit(":"), F.when(name.contains(" "), F.concat(F.lower(given), F.lit(" "), family)).otherwise(family))
     a = entities.withColumn("h", h).withColumn("plain", plain)
-    by = {"mail": mail, "ip": ip, "card": card, "ssn": F.col("plain"), "phone": F.col("plain"), "iban": iban, "secret": secret, "name": named}
+    by = {"mail": mail, "ip": ip, "card": card, "ssn": F.col("plain"), "phone": phone, "iban": iban, "secret": secret, "name": named}
     out = reduce(lambda acc, kv: F.when(F.col("kind") == kv[0], kv[1]).otherwise(acc), by.items(), F.lit(None).cast("string"))
     return a.withColumn("surrogate", out).drop("h", "plain")
 
@@ -168,12 +174,11 @@ def assign(entities: DataFrame, key: str = KEY, attempts: int = 64) -> DataFrame
 
 def render(entity: Column, kind: Column, surrogate: Column) -> Column:
     """The surrogate in the format of this mention."""
-    lead = F.length(F.regexp_extract(entity, r"^\+(\d{1,3})[ .(-]", 1))
+    signs = F.when(kind == "phone", F.regexp_replace(surrogate, F.lit(r"\+"), F.lit(""))).otherwise(surrogate)
 
     def put(acc: Column, c: Column) -> Column:
         digit = c.rlike("[A-Z0-9]")
-        use = F.when(acc["k"] < lead, c).otherwise(F.substr(surrogate, acc["k"] + 1, F.lit(1)))
-        return F.struct(F.concat(acc["out"], F.when(digit, use).otherwise(c)).alias("out"), (acc["k"] + digit.cast("int")).alias("k"))
+        return F.struct(F.concat(acc["out"], F.when(digit, F.substr(signs, acc["k"] + 1, F.lit(1))).otherwise(c)).alias("out"), (acc["k"] + digit.cast("int")).alias("k"))
 
     spaced = F.aggregate(F.split(entity, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), put, lambda acc: acc["out"])
     title = F.regexp_extract(entity, rf"^(?:{_T})\.? ", 0)

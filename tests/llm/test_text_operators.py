@@ -225,6 +225,18 @@ def test_surrogate_collisions(spark):
     assert len(used) == len(rows) == 400 and not used & {f"{i:03d}" for i in range(400)}
 
 
+def test_surrogate_phones_are_distinct_as_rendered(spark):
+    phones = [f"+999 {i // 100:02d} {i % 100:02d}" for i in range(3000)]
+    rest = ["+1 0175557713", "+10175557713", "+1 (017) 555-7713", "+49 30 12 34 56", "+4930123456"]
+    entity = spark.createDataFrame([(e,) for e in phones + rest], "entity string").withColumn("kind", surrogates.F.lit("phone"))
+    mentions = entity.withColumn("canon", surrogates.canonical(surrogates.F.col("entity"), surrogates.F.col("kind")))
+    shown = mentions.join(surrogates.assign(mentions), ["kind", "canon"]).withColumn("to", surrogates.render(*map(surrogates.F.col, ("entity", "kind", "surrogate"))))
+    to = {r["entity"]: r["to"] for r in shown.collect()}
+    assert len({to[p] for p in phones}) == 3000 and not {to[p] for p in phones} & set(phones) and all(to[p].startswith("+999 ") for p in phones)
+    digits = [re.sub(r"\D", "", to[e]) for e in rest]
+    assert digits[0] == digits[1] == digits[2] and digits[0][0] == "1" and digits[3] == digits[4] and digits[3][:2] == "49"
+
+
 def test_quotation_links(spark):
     rows = [
         (1, 0, "user", "First question?\nWith two lines."), (1, 1, "assistant", "An answer."), (1, 2, "user", "> first   QUESTION?\n> With two lines.\nMore on the first."),
