@@ -7,7 +7,8 @@ type and format: digits for digits with separators and country code in place, th
 names the title, the number of words, the script and the gender that title or given name show.
 
 Distinctness is checked over the table of distinct entities: a surrogate that two entities would share, or that is itself an
-entity of the corpus, is drawn again with the next attempt until none is left. Texts without entities pass through unshuffled; of the others one row
+entity of the corpus, is drawn again with the next attempt until none is left. Redrawn names get longer, and numbers too after ``GROW`` redraws in vain, so a
+crowded format doesn't end the assignment (only IPv4 addresses can't grow: their format has room for some 10^9). Texts without entities pass through unshuffled; of the others one row
 per distinct text is resolved, so copies cost nothing more.
 
 Defined cases: null texts stay null, empty ones empty; ids play no part, so null and repeated doc_ids are kept; an empty
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import spill
 
 KEY = "orrery-demonstration-key"
+#: So many redraws in vain, and numbers get a digit more.
+GROW = 16
 #: Titles, and given names by script and gender.
 TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "г-жа", "Г-жа", "κα")
 TITLES_M = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "г-н", "Г-н", "κ")
@@ -120,6 +123,11 @@ def _charwise(text: Column, h: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+def _more_syllables(syllables: tuple[str, ...]) -> Column:
+    places = F.slice(F.array(*[F.lit(i) for i in range(12, 60)]), 1, F.floor(F.col("attempt") / 2).cast("int"))
+    return F.array_join(F.transform(places, lambda i: F.get(F.array(*[F.lit(v) for v in syllables]), _nibbles(F.col("h"), i, len(syllables)))), "")
+
+
 def draw(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) -> surrogate, the canonical form of what replaces the entity."""
     h = _keyed(F.lit(key), F.col("kind"), F.col("canon"), F.col("attempt").cast("string"))
@@ -128,12 +136,14 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     tld = F.substring_index("canon", ".", -1)
     mail = F.concat(_letters(h, 1, 10), F.lit("@"), _letters(hd, 1, 8), F.when(tld.isin("com", "net", "org"), F.concat(F.lit(".example."), tld)).otherwise(F.lit(".example")))
     ip = F.array_join(F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.conv(F.substr("h", i * 2 + 1, F.lit(2)), 16, 10)), ".")
-    plain = _digits(F.col("canon"), F.col("h"))
+    # Room grows with the attempts: a digit more for each GROW of a number, a syllable more for every second of a name.
+    more = F.repeat(F.lit("0"), F.floor(F.col("attempt") / GROW).cast("int"))
+    plain = _digits(F.concat("canon", more), F.col("h"))
     zero = F.concat(F.expr("substring(plain, 1, length(plain) - 1)"), F.lit("0"))
     luhn = F.concat(F.expr("substring(plain, 1, length(plain) - 1)"), F.pmod(10 - _luhn_sum(zero) % 10, F.lit(10)).cast("string"))
     card = F.when(_luhn_sum(F.col("canon")) % 10 == 0, luhn).otherwise(F.col("plain"))
     code = F.regexp_extract("canon", CODE, 0)
-    phone = F.concat(code, _digits(F.substr("canon", F.length(code) + 1), F.col("h")))
+    phone = F.concat(code, _digits(F.concat(F.substr("canon", F.length(code) + 1), more), F.col("h")))
     hexed = F.expr("substring(repeat(h, cast(ceil(length(canon) / 128) as int)), 1, length(canon))")
     secret = F.when(F.col("canon").rlike("^[0-9a-f]+$"), hexed).when(F.col("canon").rlike("^[0-9A-F]+$"), F.upper(hexed)).when(F.col("canon").rlike("^[0-9a-fA-F]+$"), hexed).otherwise(
         F.concat(F.regexp_extract("canon", r"^(sk|ghp|AKIA|xox[bp])[-_]?", 0), _charwise(F.regexp_replace("canon", F.lit(r"^(sk|ghp|AKIA|xox[bp])[-_]?"), F.lit("")), F.col("h")))
@@ -144,7 +154,7 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), _nibbles(F.col("h"), F.lit(i), len(values)))
     given, family = F.lit(None).cast("string"), F.lit(None).cast("string")
     for s, syllables in SYLLABLES.items():
-        family = F.when(script == s, F.concat(*[pick(syllables, i) for i in range(4, 8)])).otherwise(family)
+        family = F.when(script == s, F.concat(*[pick(syllables, i) for i in range(4, 8)], _more_syllables(syllables))).otherwise(family)
         for g in "fm":
             given = F.when((script == s) & (F.when(gender == "n", F.when(_nibbles(F.col("h"), F.lit(9), 2) == 0, "f").otherwise("m")).otherwise(gender) == g), pick(GIVEN[s, g], 2)).otherwise(given)
     named = F.concat(gender, F.lit(":"), F.when(name.contains(" "), F.concat(F.lower(given), F.lit(" "), family)).otherwise(family))
@@ -169,6 +179,7 @@ def assign(entities: DataFrame, key: str = KEY, attempts: int = 64) -> DataFrame
             return drawn.select("kind", "canon", "surrogate")
         good = checked.where("not bad").select("kind", "canon", "attempt", "surrogate")
         drawn = spill(good.unionByName(draw(checked.where("bad").select("kind", "canon", "attempt"), key)), "pii-drawn")
+    # Only a corpus that holds a good part of all IPv4 addresses comes here.
     raise ValueError(f"no distinct surrogates after {attempts} attempts")
 
 
@@ -178,9 +189,9 @@ def render(entity: Column, kind: Column, surrogate: Column) -> Column:
 
     def put(acc: Column, c: Column) -> Column:
         digit = c.rlike("[A-Z0-9]")
-        return F.struct(F.concat(acc["out"], F.when(digit, F.substr(signs, acc["k"] + 1, F.lit(1))).otherwise(c)).alias("out"), (acc["k"] + digit.cast("int")).alias("k"))
+        return F.struct(F.concat(acc["out"], F.when(digit, F.substr(acc["signs"], acc["k"] + 1, F.lit(1))).otherwise(c)).alias("out"), (acc["k"] + digit.cast("int")).alias("k"), acc["signs"].alias("signs"))
 
-    spaced = F.aggregate(F.split(entity, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), put, lambda acc: acc["out"])
+    spaced = F.aggregate(F.split(entity, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k"), signs.alias("signs")), put, lambda acc: F.concat(acc["out"], F.substr(acc["signs"], acc["k"] + 1)))
     title = F.regexp_extract(entity, rf"^(?:{_T})\.? ", 0)
     name = F.substring_index(surrogate, ":", -1)
     bare = _bare_name(entity)

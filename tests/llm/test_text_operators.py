@@ -237,6 +237,16 @@ def test_surrogate_phones_are_distinct_as_rendered(spark):
     assert digits[0] == digits[1] == digits[2] and digits[0][0] == "1" and digits[3] == digits[4] and digits[3][:2] == "49"
 
 
+def test_surrogate_space_grows(spark):
+    """More surnames of a class than four syllables make, and more numbers than their format has."""
+    names = spark.range(70_000).selectExpr("'name' as kind", "concat('m:x', cast(id as string)) as canon")
+    codes = spark.range(900).selectExpr("'ssn' as kind", "lpad(cast(id as string), 3, '0') as canon")
+    rows = surrogates.assign(names.unionByName(codes)).collect()
+    assert len(rows) == len({(r["kind"], r["surrogate"]) for r in rows}) == 70_900 and not {(r["kind"], r["canon"]) for r in rows} & {(r["kind"], r["surrogate"]) for r in rows}
+    longer = spark.createDataFrame([("123", "ssn", "45678")], "entity string, kind string, surrogate string").select(surrogates.render(*map(surrogates.F.col, ("entity", "kind", "surrogate"))))
+    assert longer.first()[0] == "45678"
+
+
 def test_quotation_links(spark):
     rows = [
         (1, 0, "user", "First question?\nWith two lines."), (1, 1, "assistant", "An answer."), (1, 2, "user", "> first   QUESTION?\n> With two lines.\nMore on the first."),
