@@ -17,6 +17,7 @@ from ..plans.nodes import Field, Order
 from . import predicates, vector
 
 HAS = "__has"  # of schemaless records: the names that the record has
+MAP_FIELDS = 1000  # a map with more different keys is not expanded into fields
 
 
 @dataclass(frozen=True)
@@ -217,7 +218,9 @@ def expand(f: Frame, name: str) -> Frame:
         raise TypeMismatchError(f"{name} is no object", field=name)
     kind = f.df.schema[name].dataType
     if isinstance(kind, T.MapType):
-        keys = [r[0] for r in f.df.select(F.explode(F.map_keys(col(name))).alias("k")).distinct().limit(1000).collect()]
+        keys = [r[0] for r in f.df.select(F.explode(F.map_keys(col(name))).alias("k")).distinct().limit(MAP_FIELDS + 1).collect()]
+        if len(keys) > MAP_FIELDS:
+            raise SchemaError(f"{name} has more than {MAP_FIELDS} different keys, too many to expand into fields", code="schema_mismatch", fields=[name])
         value, members = F.struct(*[F.element_at(col(name), k).alias(k) for k in sorted(keys)]), {k: kind.valueType for k in sorted(keys)}
     else:
         value, members = object_fields(f, name)

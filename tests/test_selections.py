@@ -59,6 +59,14 @@ def test_flatten_expand(spark):
     assert code(lambda: clash.expand("profile").consume()) == "schema_mismatch"
 
 
+def test_expand_map_takes_all_keys_or_none(spark):
+    e = Engine(spark)
+    e.register("few", spark.range(1000).selectExpr("id", "map(concat('k', cast(id as string)), id) as kv"))
+    e.register("many", spark.range(1001).selectExpr("id", "map(concat('k', cast(id as string)), id) as kv"))
+    assert len(e.select("few").expand("kv").to_df().columns) == 1001
+    assert code(lambda: e.select("many").expand("kv").to_df()) == "schema_mismatch"
+
+
 def test_algebra(spark):
     left, right = (table(spark, {"id": "int"}, [{"id": i} for i in v]) for v in ((1, 2, 2), (2, 3, 3)))
     assert ids(left + right) == [1, 2, 3] and ids(left & right) == [2] and ids(left - right) == [1] and ids(left ^ right) == [1, 3]
