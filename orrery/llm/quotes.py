@@ -1,9 +1,9 @@
 """Chat formatting: quotation linking. DataFrame functions only.
 
 Every line's leading ``>`` marks give its quote level. A message's own lines, and its own text as a whole, are normalised (lower case, single
-spaces) and hashed; so are the lines and whole passages that it quotes at the shallowest level. A quoted hash is linked to the latest earlier message of
+spaces) and hashed; so are, at every level, the lines, the contiguous passages and the whole that it quotes. A quoted hash is linked to the latest earlier message of
 the conversation that has it: an as-of search over the hash's turns in order, never pairs of all that share it. The message that accounts for most quoted characters (the
-latest of equals) is the one replied to. Threads are found by pointer doubling, and messages are put in reply order: by their thread's first turn, then by turn,
+latest of equals) at the shallowest level that has a match is the one replied to. Threads are found by pointer doubling, and messages are put in reply order: by their thread's first turn, then by turn,
 with a gapless position. Only the position needs a sort; it is made by ranges, so no conversation has to fit in a task.
 
 Defined cases: a null text counts as empty; null turns, and rows with a null conv_id, are kept but link to nothing (their thread is their turn); of rows with the same conv_id
@@ -37,19 +37,30 @@ def _join(lines: Column) -> Column:
     return F.array_join(F.transform(lines, lambda x: x["body"]), "\n")
 
 
-def _hashes(lines: Column) -> Column:
-    """(hash, length) of each line and of the whole, normalised; blank ones left out."""
-    each = F.transform(lines, lambda x: normal(x["body"]))
-    every = F.filter(F.array_distinct(F.concat(each, F.array(normal(_join(lines))))), lambda t: t != "")
+def _hash_texts(texts: Column) -> Column:
+    """(hash, length) of each text, normalised; blank ones left out."""
+    every = F.filter(F.array_distinct(F.transform(texts, normal)), lambda t: t != "")
     return F.transform(every, lambda t: F.struct(F.xxhash64(t, F.lit(1)).alias("h"), F.xxhash64(t, F.lit(2)).alias("h2"), F.length(t).alias("n")))
 
 
+def _hashes(lines: Column) -> Column:
+    """Those of each line and of the whole."""
+    return _hash_texts(F.concat(F.transform(lines, lambda x: x["body"]), F.array(_join(lines))))
+
+
+def _quoted_hashes(lines: Column, level: Column) -> Column:
+    """Those of each line, each contiguous passage (with deeper quotes in it left out, and ended by them) and the whole of a level."""
+    at = F.filter(lines, lambda x: x["level"] == level)
+    runs = lambda some: F.split(F.array_join(F.transform(some, lambda x: F.when(x["level"] == level, x["body"]).otherwise("\x00")), "\n"), "\x00")
+    return _hash_texts(F.concat(F.transform(at, lambda x: x["body"]), runs(lines), runs(F.filter(lines, lambda x: x["level"] <= level)), F.array(_join(at))))
+
+
 def link(messages: DataFrame) -> DataFrame:
     """``messages`` with ``text`` free of quotes and the columns of ADDED."""
     columns = [c for c in messages.columns if c not in ADDED]
     rows = parse(messages.select(*columns))
     own = F.filter("__lines", lambda x: x["level"] == 0)
-    rows = rows.withColumn("__own", own).withColumn("__quoted", F.filter("__lines", lambda x: x["level"] > 0)).drop("__lines")
+    rows = rows.withColumn("__own", own).withColumn("__quoted", F.filter("__lines", lambda x: x["level"] > 0))
     threads = thread_roots(reply_targets(rows))
     text = F.when(F.size("__quoted") == 0, F.coalesce(F.col("text"), F.lit(""))).otherwise(F.btrim(_join(F.col("__own")), F.lit("\n")))
     levels = F.coalesce(F.array_max(F.transform("__quoted", lambda x: x["level"])), F.lit(0))
@@ -63,18 +74,19 @@ def reply_targets(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, parent) of the messages that reply to an earlier turn."""
     place = ["conv_id", "h", "h2"]
     known = rows.where("conv_id is not null and turn is not null")
-    top = F.array_min(F.transform("__quoted", lambda x: x["level"]))
-    asked = known.where(F.size("__quoted") > 0).withColumn("__top", top).select("conv_id", "turn", F.explode(_hashes(F.filter("__quoted", lambda x: x["level"] == F.col("__top")))).alias("q"))
-    asked = spill(asked.select("conv_id", "turn", "q.h", "q.h2", "q.n"), "quotes-asked")
+    levels = F.array_distinct(F.transform("__quoted", lambda x: x["level"]))
+    asked = known.where(F.size("__quoted") > 0).select("conv_id", "turn", "__lines", F.explode(levels).alias("level"))
+    asked = asked.select("conv_id", "turn", "level", F.explode(_quoted_hashes(F.col("__lines"), F.col("level"))).alias("q"))
+    asked = spill(asked.select("conv_id", "turn", "level", "q.h", "q.h2", "q.n"), "quotes-asked")
     # Of all messages' lines only those that someone quotes are kept.
     units = known.select("conv_id", "turn", F.explode(_hashes(F.col("__own"))).alias("q")).select("conv_id", "turn", "q.h", "q.h2")
     units = join_small(units, asked.select(*place).distinct(), place, "left_semi").distinct()
-    both = asked.withColumn("source", F.lit(None).cast("long")).unionByName(units.select(*place, "turn", F.lit(None).cast("int").alias("n"), F.col("turn").cast("long").alias("source")))
+    both = asked.withColumn("source", F.lit(None).cast("long")).unionByName(units.select(*place, "turn", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("n"), F.col("turn").cast("long").alias("source")))
     # At one turn questions come before answers, so a message never answers itself.
     order = Window.partitionBy(*place).orderBy("turn", F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("parent", F.last("source", ignorenulls=True).over(order)).where("source is null and parent is not null")
-    votes = found.groupBy("conv_id", "turn", "parent").agg(F.sum("n").alias("n"))
-    return votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "parent"))["parent"].alias("parent"))
+    votes = found.groupBy("conv_id", "turn", "level", "parent").agg(F.sum("n").alias("n"))
+    return votes.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("shallow"), "n", "parent"))["parent"].alias("parent"))
 
 
 def thread_roots(links: DataFrame) -> DataFrame:

@@ -269,6 +269,15 @@ def test_quotation_links(spark):
     assert quotes.link(edge.empty(spark, docs.schema)).count() == 0
 
 
+def test_quotation_levels_and_passages(spark):
+    rows = [
+        (1, 0, "An answer."), (1, 1, "Some words\nthat go on"), (1, 2, "> Bob wrote:\n>> An answer.\nreply"), (1, 3, "> an edited line\n>> Some words\n>> that go on\nmore"),
+        (1, 4, "> Some words that\n> go on\nyes\n> or another block\nno"), (1, 5, "> Bob wrote:\n> Some\n>> An answer.\n> words that go on\nx"), (1, 6, "> more\n>> An answer.\ny"), (1, 7, "> Some words\n> that go\n> on\n>> unknown\n> also unknown\nz"),
+    ]
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    assert {r["turn"]: r["reply_to"] for r in got} == {0: None, 1: None, 2: 0, 3: 1, 4: 1, 5: 0, 6: 3, 7: 1}
+
+
 def test_quotation_sql(spark):
     import duckdb
 
