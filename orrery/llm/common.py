@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.files import shared_dir
 
 #: The characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -14,21 +18,6 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 NON_SPACE = r"[^\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is read from ``spark.checkpoint.dir``; only where neither the session nor the context has one (tests on one
-    machine) a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="orrery-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -40,6 +29,23 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> Iterator[None]:
+    """Bound what an Arrow batch of texts may hold, in rows and in bytes, for what is run inside; the session's settings come back afterwards."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(mb << 20)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
     """Bound what an Arrow batch of texts may hold, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -57,9 +63,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int = 1_000_000) -> DataFrame:
-    """Join with a broadcast of ``small`` if it was counted to have at most ``rows`` rows, else by a shuffle."""
-    return big.join(F.broadcast(small) if small.count() <= rows else small, on, how)
+#: About how many bytes a value takes in a broadcast table.
+_WIDTH = {T.StringType: 40, T.BinaryType: 80, T.ArrayType: 400, T.StructType: 60}
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, mb: int = 32) -> DataFrame:
+    """Join with a broadcast of ``small`` if its counted rows take at most about ``mb`` MB, else by a shuffle. ``small`` should be stored: it is read twice."""
+    width = 16 + sum(_WIDTH.get(type(f.dataType), 8) for f in small.schema)
+    return big.join(F.broadcast(small) if small.count() * width <= mb << 20 else small, on, how)
 
 
 def tidy(run):

@@ -4,16 +4,19 @@ Two documents link when ``100 * |intersection| >= percent * |union|`` for their
 the least doc_id it can reach over links. No link is lost:
 
 1. Documents of equal sets are one class, named by its least doc_id.
-2. A set's prefix under a global order of shingles holds ``size - ceil(percent * size / 100) + 1`` of them, so linked sets share a prefix shingle. The
-   order is by hash, with shingles that occur in the prefixes of more than ``HOT`` documents moved to the end: this keeps common passages from
-   meeting, and any order gives the same links. (At most ``HOT_LIST`` shingles are moved: where more are that frequent, the bound is doubled until they fit.)
-3. In each bucket (the classes of one prefix shingle) a signature tree over bitmaps and sizes is joined with itself. Node pairs are dropped whose sizes are too
-   far apart or whose OR-combined bitmaps allow too small an overlap. What is left are candidate links; only those that join what isn't joined yet are kept. In buckets of more than ``BLOCK``
-   classes all are candidates of each other without a test.
-4. Connected candidates form clusters, usually a few documents. Their whole sets come together in blocks, a second tree is joined with itself (or with
+2. A set's prefix under a global order of shingles holds ``size - ceil(percent * size / 100) + 1`` of them, so linked sets share a prefix shingle. The order is by
+   level, then by hash. A shingle's level grows with the number of documents that have it in their first prefix, if those are more than ``HOT``: this keeps common
+   passages from meeting, and any order gives the same links. Levels are kept in a table of ``SLOTS`` bytes; shingles that share a slot share the higher level.
+3. A bucket has the classes of one prefix shingle, sorted by size. A class stays in it only where another one's size and place of the shingle allow a link. Classes
+   that have a shingle more than ``FOLD`` times in a task's chunk, or in buckets of more than ``BLOCK``, aren't tested here: neighbours in the order of sizes become
+   candidates, and of a run of them one row goes on, so a shingle of very many documents is no burden for the task that its bucket comes to.
+4. In each bucket a signature tree over bitmaps and sizes is joined with itself. Node pairs are dropped whose sizes are too far apart or whose OR-combined bitmaps allow too
+   small an overlap. Bitmaps here tell of a fixed part of all shingles (by hash): as a link allows few to be missing, a part decides. What is left are candidate links;
+   only those that join what isn't joined yet are kept.
+5. Connected candidates form clusters, usually a few documents. Their whole sets come together in blocks, a second tree is joined with itself (or with
    that of each other block of the same cluster), and pairs that the bound leaves are verified exactly. A node pair whose documents are joined already is skipped, so a dense group of n near copies costs
    about n verifications, not n squared.
-5. Components of the verified links.
+6. Components of the verified links.
 
 Sets are compared by 64-bit hashes of shingles, classes by 128-bit ones.
 
@@ -28,15 +31,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, small_batches, spill, tidy
+from .common import arrow_batches, join_small, spill, tidy
 from .components import components
-from .shingles import shingle_sets
+from .shingles import mix, shingle_sets
 
 HOT = 64
-HOT_LIST = 65_536
+SLOTS = 1 << 22
+FOLD = 64
+CHUNK = 1 << 19  # prefix shingles looked at together
 BLOCK = 2048
 SPREAD = 16
 BLOCK_TOKENS = 2_000_000
@@ -61,6 +67,19 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def share(percent: int) -> int:
+    """Bitmaps of candidates tell of one in so many shingles: unrelated sets then still lack about 1.4 times as many as a link allows."""
+    return next((n for n in (8, 4, 2) if 0.6 / n >= 1.35 * (100 - percent) / (100 + percent)), 1)
+
+
+def part_bitmap(tokens: np.ndarray, one_in: int) -> bytes:
+    """A bit per shingle of the part that hashes choose, modulo a power of two of at least twice the part's expected size (and 64)."""
+    width = max(64, 1 << (2 * len(tokens) // one_in).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(tokens[(tokens >> np.uint64(8)) % np.uint64(one_in) == 0] >> np.uint64(20)) & np.uint64(width - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def fold(bits: int, width: int, to: int) -> int:
     while width > to:
         width //= 2
@@ -219,28 +238,66 @@ def count_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def signatures(docs: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame:
-    """hot: sorted uint64 shingles that come last in the order. Rows are numbered, so that a repeated one can be told from another."""
+def slots(tokens: np.ndarray, size: int) -> np.ndarray:
+    return (mix(tokens) & np.uint64(size - 1)).astype(np.int64)
+
+
+def levels(counts: DataFrame) -> np.ndarray:
+    """Of each slot the highest level of its shingles: 0, and one more for each fourfold count above a bound. The bound is HOT, doubled until
+    a quarter of the slots suffices for all shingles above it, so most others keep level 0 in a corpus of any size."""
+    often = spill(counts.where(F.col("n") > HOT), "tree-frequent")
+    step = F.floor(F.log2((F.col("n") - 1) / HOT)).cast("int")
+    left, bound, size = {r["step"]: r["count"] for r in often.groupBy(step.alias("step")).count().collect()}, 0, SLOTS
+    while sum(n for i, n in left.items() if i >= bound) > size // 4:
+        bound += 1
+    piece = 1 << 12
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        for b in batches:
+            slot, level, of = (b.column(c).to_numpy() for c in ("slot", "level", "piece"))
+            for i in np.unique(of).tolist():
+                np.maximum.at(tables.setdefault(i, np.zeros(piece, np.uint8)), slot[of == i] % piece, level[of == i].astype(np.uint8))
+        if tables:
+            yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int64()), pa.array([t.tobytes() for t in tables.values()], pa.binary())], ["piece", "table"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = slots(b.column("token").to_numpy(zero_copy_only=False).view(np.uint64), size)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // piece), b.column("level")], ["slot", "piece", "level"])
+
+    level = F.least(F.floor((step - bound) / 2) + 1, F.lit(60)).cast("int")
+    placed = often.where(step >= bound).select("token", level.alias("level")).mapInArrow(place, "slot long, piece long, level int")
+    table = np.zeros(size, np.uint8)
+    for r in placed.repartition("piece").mapInArrow(fill, "piece long, table binary").collect():  # SLOTS bytes in all
+        table[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["table"], np.uint8)
+    return table
+
+
+def signatures(docs: DataFrame, level: np.ndarray, k: int, percent: int) -> DataFrame:
+    """level: of each slot. Rows are numbered, so that a repeated one can be told from another."""
     import xxhash
 
+    table = docs.sparkSession.sparkContext.broadcast(level)
+    one_in = share(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 33
+        level = table.value
         for b in batches:
             n, k1, k2, bits, prefix = [], [], [], [], []
             for s in shingle_sets(b.column("text").to_pylist(), k):
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 p = prefix_length(len(s), percent) if len(s) else 0
                 head = s[:p]
-                if len(hot) and p:
-                    is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-                    if is_hot[:p].any():
-                        head = np.concatenate([s[~is_hot], s[is_hot]])[:p]
+                if p and level[slots(head, len(level))].any():
+                    head = s[np.argsort(level[slots(s, len(level))], kind="stable")[:p]]
                 n.append(len(s))
                 k1.append(int(digest[0]))
                 k2.append(int(digest[1]))
-                bits.append(bitmap(s) if len(s) else None)
+                bits.append(part_bitmap(s, one_in) if len(s) else None)
                 prefix.append(head.view(np.int64))
             row = np.arange(at, at + len(n))
             at += len(n)
@@ -252,6 +309,131 @@ def signatures(docs: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFr
     return _texts(docs).mapInArrow(tidy(run), SIGNATURE)
 
 
+def _sweep(token: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
+    """Of rows sorted by token and low, whether each meets the ones before it: sizes as near as a link needs lie between them."""
+    if not len(token):
+        return np.zeros(0, bool)
+    group = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
+    reach = np.maximum.accumulate((group << 40) + high) - (group << 40)
+    return np.concatenate([[False], (token[1:] == token[:-1]) & (100 * reach[:-1] >= percent * low[1:])])
+
+
+MEMBER = "token long, low long, high long, late boolean, rid long, other long"
+_MEMBER = [x.split()[0] for x in MEMBER.split(", ")]
+
+
+def prefix_rows(first: DataFrame, percent: int) -> DataFrame:
+    """first: (row, n, prefix). A row per class and prefix shingle: its size as low, and whether the shingle comes too late in the prefix for a link with one of
+    the same size or a larger one. Shingles frequent in a chunk give candidate links (rid, other) at once, and one row per run of sizes, with its largest size as high."""
+
+    def chunk(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        n, row = (t.column(c).to_numpy() for c in ("n", "row"))
+        lists = t.column("prefix").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        token = lists.flatten().to_numpy()
+        doc = np.repeat(np.arange(len(n)), length)
+        pos = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
+        size = n[doc]
+        late = pos > size + (-2 * percent * size) // (100 + percent)  # size - needed(size, size)
+        _, which, count = np.unique(token, return_inverse=True, return_counts=True)
+        often = np.flatnonzero(count[which] > FOLD)
+        by = often[np.lexsort((row[doc[often]], size[often], token[often]))]
+        met = _sweep(token[by], size[by], size[by], percent)
+        rid = row[doc[by]]
+        link = np.flatnonzero(met)
+        links = np.unique(np.stack([rid[link - 1], rid[link]], axis=1), axis=0) if len(link) else np.zeros((0, 2), np.int64)
+        begins = np.flatnonzero(~met)
+        ends = np.append(begins[1:], len(by)) - 1
+        rest = np.flatnonzero(count[which] <= FOLD)
+        parts = [
+            (token[rest], size[rest], np.full(len(rest), -1), late[rest], row[doc[rest]]),
+            (token[by][begins], size[by][begins], size[by][ends] if len(by) else size[:0], np.zeros(len(begins), bool), rid[begins]),
+            (mix(links[:, 1].view(np.uint64)).view(np.int64), np.zeros(len(links), np.int64), np.full(len(links), -1), np.zeros(len(links), bool), links[:, 0]),
+        ]
+        cols = [np.concatenate(x) for x in zip(*parts)]
+        other = pa.array(np.concatenate([np.zeros(len(rest) + len(begins), np.int64), links[:, 1]]), mask=np.arange(len(cols[0])) < len(rest) + len(begins))
+        high = pa.array(cols[2], mask=cols[2] < 0)
+        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), high, pa.array(cols[3]), pa.array(cols[4]), other], _MEMBER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tokens = [], 0
+        for b in batches:
+            held.append(b)
+            tokens += len(b.column("prefix").flatten())
+            if tokens >= CHUNK:
+                yield chunk(held)
+                held, tokens = [], 0
+        if tokens:
+            yield chunk(held)
+
+    return first.select("row", "n", "prefix").mapInArrow(tidy(run), MEMBER)
+
+
+def buckets(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: of ``prefix_rows``. Gives the rows of buckets that are worth a test (other is null), and candidate links (rid, other)."""
+
+    def judge(token: np.ndarray, low: np.ndarray, high: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whole buckets, sorted. Which rows stay, and which are linked with the row before."""
+        new = np.concatenate([[True], token[1:] != token[:-1]])
+        which = np.cumsum(new) - 1
+        size = np.bincount(which)
+        coarse = (np.bincount(which, weights=high >= 0) > 0) | (size > BLOCK)
+        reach = np.maximum(low, high)
+        met = _sweep(token, low, reach, percent) & coarse[which]
+        # The largest size before that is early enough in its prefix, by a running maximum in the bucket: sizes rise there.
+        early = np.where(late, -1, low)
+        before = np.concatenate([[0], (np.maximum.accumulate((which << 40) + early + 1) - (which << 40) - 1)[:-1]])
+        before[new] = -1
+        after = np.concatenate([low[1:], [0]])
+        last = np.concatenate([new[1:], [True]])
+        stay = (before >= 0) & (100 * before >= percent * low) | ~late & ~last & (100 * low >= percent * after)
+        return stay & ~coarse[which], met
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        count = 0
+
+        def out(cols: list[np.ndarray], whole: bool) -> tuple[pa.RecordBatch | None, list[np.ndarray]]:
+            """The result of all whole buckets, and what is kept of the last one: all its rows, or the one that stands for a big bucket."""
+            token = cols[0]
+            cut = len(token) if whole else int(np.searchsorted(token, token[-1], side="left"))
+            if len(token) - cut > BLOCK:
+                cut = len(token)
+            if not cut:
+                return None, cols
+            head, tail = [c[:cut] for c in cols], [c[cut:] for c in cols]
+            stay, met = judge(*head[:4])
+            if not whole and cut == len(token):
+                at = np.flatnonzero(token == token[-1])
+                tail = [c[-1:].copy() for c in cols]
+                tail[2][0] = max(head[1][at].max(), head[2][at].max())
+            link = np.flatnonzero(met)
+            n = int(stay.sum())
+            other = pa.array(np.concatenate([np.zeros(n, np.int64), head[4][link]]), mask=np.arange(n + len(link)) < n)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([head[0][stay], head[0][link]])), pa.array(np.concatenate([head[4][stay], head[4][link - 1]])), other], ["token", "rid", "other"]), tail
+
+        for b in batches:
+            done = b.filter(b.column("other").is_valid())
+            if len(done):
+                yield done.select(["token", "rid", "other"])
+                b = b.filter(b.column("other").is_null())
+            if not len(b):
+                continue
+            held.append([b.column("token").to_numpy(), b.column("low").to_numpy(), b.column("high").fill_null(-1).to_numpy(), b.column("late").to_numpy(zero_copy_only=False), b.column("rid").to_numpy()])
+            count += len(b)
+            if count >= CHUNK // 8:
+                found, tail = out([np.concatenate(x) for x in zip(*held)], False)
+                if found is not None:
+                    yield found
+                held, count = [tail], len(tail[0])
+        if count:
+            yield out([np.concatenate(x) for x in zip(*held)], True)[0]
+
+    return rows.repartition("token").sortWithinPartitions("token", "low", "late").mapInArrow(tidy(run), "token long, rid long, other long")
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, list[list]]]:
     """Rows sorted by their first ``keys`` columns, group by group: (column names, columns)."""
     last, held = None, None
@@ -342,33 +524,24 @@ def verified_links(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(tidy(run), "a long, b long")
 
 
-def frequent(counts: DataFrame) -> np.ndarray:
-    """The tokens counted more than HOT times, or more than the least HOT * 2**i for which HOT_LIST of them remain at most."""
-    often = spill(counts.where(F.col("n") > HOT), "tree-frequent")
-    step = F.floor(F.log2((F.col("n") - 1) / HOT)).cast("int").alias("step")
-    left, bound = {r["step"]: r["count"] for r in often.groupBy(step).count().collect()}, 0
-    while sum(n for i, n in left.items() if i >= bound) > HOT_LIST:
-        bound += 1
-    return often.where(F.col("n") > HOT * 2**bound).select("token").toPandas()["token"].to_numpy(np.int64)
-
-
 def group(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    small_batches(docs.sparkSession, 500, 8)
-    hot = frequent(count_prefixes(docs, k, percent))
-    sig = spill(signatures(docs, np.sort(hot.view(np.uint64)), k, percent), "tree-signatures")
+    with arrow_batches(docs.sparkSession, 500, 8):
+        level = levels(count_prefixes(docs, k, percent))
+        sig = spill(signatures(docs, level, k, percent), "tree-signatures")
+        return _grouped(docs, sig, k, percent)
+
 
+def _grouped(docs: DataFrame, sig: DataFrame, k: int, percent: int) -> DataFrame:
     ids = sig.where("n > 0 and doc_id is not null")
     classes = ids.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("k1", "k2", F.col("first.doc_id").alias("rid"), F.col("first.row").alias("row"))
     classes = spill(classes, "tree-classes")
     # One row stands for each class. While classes are few, signatures needn't be exchanged to find these rows.
     first = join_small(sig, classes.select("row"), ["row"], "left_semi")
-    rows = first.select(F.col("row").alias("rid"), F.explode("prefix").alias("token"))
-    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("rid").alias("head")).where("df > 1")
-    shared = spill(rows.join(counts, "token"), "tree-shared")
+    shared = spill(buckets(prefix_rows(first, percent), percent), "tree-shared")
     payload = first.select(F.col("row").alias("rid"), "doc_id", "n", "bits")
-    bucket = shared.where(F.col("df") <= BLOCK).select("rid", "token").join(payload, "rid").select("token", "rid", "n", "bits")
-    coarse = shared.where(F.col("df") > BLOCK).select(F.col("rid").alias("a"), F.col("head").alias("b"))
+    bucket = shared.where("other is null").select("rid", "token").join(payload, "rid").select("token", "rid", "n", "bits")
+    coarse = shared.where("other is not null").select(F.col("rid").alias("a"), F.col("other").alias("b"))
     clusters = spill(components(candidate_links(bucket, percent).unionByName(coarse)), "tree-clusters")
 
     weights = clusters.join(payload, F.col("node") == F.col("rid")).groupBy("component").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("c"))

@@ -66,9 +66,9 @@ def brute_components(rows, k, percent):
 @pytest.mark.parametrize("source", ["sf", "edge", "made"])
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
 def test_signature_tree(spark, source, k, percent, monkeypatch):
-    if (k, percent) == (5, 80):  # small limits: split buckets, several blocks a cluster, hot shingles
-        monkeypatch.setattr(signature_tree, "BLOCK", 16)
-        monkeypatch.setattr(signature_tree, "HOT", 8)
+    if (k, percent) == (5, 80):  # small limits: split buckets, several blocks a cluster, frequent shingles
+        for name, value in (("BLOCK", 16), ("HOT", 8), ("FOLD", 12), ("CHUNK", 3000)):
+            monkeypatch.setattr(signature_tree, name, value)
     docs = documents(spark, source)
     got = signature_tree.group(docs, k, percent).collect()
     rows = docs.select("doc_id", "text").collect()
@@ -319,10 +319,15 @@ def test_templates_find_planted_items(spark):
     assert all(own(r["text"]) & windows for r in docs.collect() if r["doc_id"] in got)
 
 
-def test_frequent_shingles_are_bounded(spark, monkeypatch):
+def test_levels_of_frequent_shingles(spark, monkeypatch):
     counts = spark.range(1000).selectExpr("id as token", "60 + id as n")
-    assert sorted(signature_tree.frequent(counts)) == list(range(5, 1000))
-    monkeypatch.setattr(signature_tree, "HOT_LIST", 600)
-    got = sorted(signature_tree.frequent(counts))
-    assert got == list(range(64 * 8 - 60 + 1, 1000)) and len(got) <= 600
-    assert len(signature_tree.frequent(counts.limit(0))) == 0
+    table = signature_tree.levels(counts)
+    of = table[signature_tree.slots(np.arange(1000, dtype=np.uint64), len(table))]
+    assert (of[:5] == 0).all() and (of[5:196] == 1).all() and (of[200:960] >= 2).all() and of.max() == 3
+    monkeypatch.setattr(signature_tree, "SLOTS", 1 << 13)
+    assert (signature_tree.levels(counts) > 0).sum() > 800
+    monkeypatch.setattr(signature_tree, "SLOTS", 1 << 12)  # room for 1,024 of 4,096
+    monkeypatch.setattr(signature_tree, "HOT", 1)
+    crowded = signature_tree.levels(spark.range(5000).selectExpr("id as token", "id + 2 as n"))
+    assert (crowded > 0).sum() <= 1024
+    assert not signature_tree.levels(counts.limit(0)).any()
