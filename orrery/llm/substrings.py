@@ -1,15 +1,21 @@
 """Suffix-array dedup: removes every byte covered by a ``LENGTH``-byte string that also starts earlier in the corpus.
 
+What is put in suffix order are not all suffixes of the corpus, but the contexts of anchors, by which each repeated string is found:
+
 1. Equal texts are one class; only the row with the least doc_id is searched. Its copies are covered whole (if they reach ``LENGTH`` bytes).
 2. Anchors: of the ``GRAM``-byte grams of every window of ``LENGTH`` bytes the one of least hash is an anchor. Equal windows have equal anchors at equal places, so
    an anchor whose hash occurs once in the corpus can't be in a repeated window; all others are kept. One exchange by hash, streamed in sorted order.
 3. For the kept anchors, the bytes around them come together by hash. The contexts right of the anchors, and those left of them backwards, are put in suffix
-   order by deep-shallow sorting: multikey quicksort over eight-byte symbols to a shallow depth, then a blind trie for each group that still shares its prefix. The
-   common-prefix lengths of both orders give, for every offset of the anchor in a window, the classes of equal windows; all but the earliest of a class are marked.
-4. Marked runs return to their documents, overlapping ones are merged, and the rest of the bytes is digested.
+   order by deep-shallow sorting: multikey quicksort (three-way partitions around a pivot symbol of eight bytes, all groups of a depth at a time) to a shallow depth, then a blind trie for
+   each group that still shares its prefix. The common-prefix lengths of both orders give, for every offset of the anchor in a window, the classes of equal windows;
+   all but the earliest of a class are marked.
+4. An anchor with more than ``FREQUENT`` different surroundings isn't brought together: its windows are, each by its own hash of 128 bits, where the earliest is found by streaming. So
+   a phrase common to very many documents with different words around it is dealt over all tasks. Such anchors are known by their surroundings in single batches; one
+   whose different contexts turn out to be more than ``CHUNK`` all the same hands them on to a second round, by windows.
+5. Marked runs return to their documents, overlapping ones are merged, and the rest of the bytes is digested.
 
-Work and traffic follow the corpus and its repeated parts; no task pairs rows with each other, and equal contexts of an anchor are folded into the
-earliest before anything is sorted. Texts are read in segments, so long ones need no more memory.
+Work and traffic follow the corpus and its repeated parts; no task pairs rows with each other, and equal contexts of an anchor (equal windows of a frequent one) are folded into the
+earliest before anything is sent or sorted. Texts are read in segments, so long ones need no more memory.
 
 Defined cases: null texts are empty; texts shorter than ``LENGTH`` are kept; a null doc_id sorts last; rows that share doc_id and text are the same
 document (all get the same row); different texts under one doc_id are ordered by text hash; an empty table gives an empty result; other columns aren't read.
@@ -22,16 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, small_batches, spill
+from .common import arrow_batches, join_small, spill, tidy
 
 LENGTH = 100
 GRAM = 32
 REACH = LENGTH - GRAM  # bytes of a window that can lie left of its anchor
 SEGMENT = 1 << 20
 CHUNK = 60_000
+FREQUENT = 20_000
 SHALLOW = 6  # eight-byte symbols
 _BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -130,37 +138,61 @@ class BlindTrie:
                     common = self.width
 
 
+def multikey_quicksort(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Order of the rows by their first ``depth`` symbols, and the (start, length) of groups that share all of these. Each round splits every open group in
+    three around the middle of its first, middle and last row's symbol; the rows equal to it go on with the next symbol."""
+    n = len(symbols)
+    order = np.arange(n)
+    start, length, at_depth = (np.array([x]) for x in (0, n, 0))
+    deep: list[tuple[int, int]] = []
+    if n < 2:
+        return order, deep
+    while len(start):
+        rows = [symbols[order[start + k], at_depth] for k in (0 * length, length // 2, length - 1)]
+        pivot = np.maximum(np.minimum(rows[0], rows[1]), np.minimum(np.maximum(rows[0], rows[1]), rows[2]))
+        group = np.repeat(np.arange(len(start)), length)
+        begin = np.cumsum(length) - length  # of each group among the open rows
+        place = (start - begin)[group] + np.arange(len(group))
+        own = order[place]
+        key = symbols[own, at_depth[group]]
+        less, more = key < pivot[group], key > pivot[group]
+        same = ~(less | more)
+        after = start[group]
+        sizes = []
+        target = np.empty(len(group), np.int64)
+        for part in (less, same, more):
+            count = np.cumsum(part)
+            before = np.concatenate([[0], count])[begin]
+            size = np.concatenate([[0], count])[begin + length] - before
+            target[part] = (after + count - 1 - before[group])[part]
+            after = after + size[group]
+            sizes.append(size)
+        order[target] = own
+        starts = (start, start + sizes[0], start + sizes[0] + sizes[1])
+        done = at_depth + 1 == depth
+        deep += [(a, k) for a, k in zip(starts[1][done].tolist(), sizes[1][done].tolist()) if k > 1]
+        open_ = [sizes[0] > 1, (sizes[1] > 1) & ~done, sizes[2] > 1]
+        start = np.concatenate([a[o] for a, o in zip(starts, open_)])
+        at_depth = np.concatenate([at_depth[open_[0]], at_depth[open_[1]] + 1, at_depth[open_[2]]])
+        length = np.concatenate([k[o] for k, o in zip(sizes, open_)])
+    return order, deep
+
+
 def suffix_order(rows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the byte rows and the prefix length each shares with the one before it in that order (0 for the first)."""
     n, width = rows.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = rows
     symbols = padded.view(">u8").astype(np.uint64)
-    order = np.arange(n)
+    depth = min(shallow, symbols.shape[1])
+    order, deep = multikey_quicksort(symbols, depth) if depth else (np.arange(n), [(0, n)] if n > 1 else [])
     lcp = np.zeros(n, np.int64)
-    open_at, open_len = (np.array([0]), np.array([n])) if n > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    # Multikey quicksort: groups that share all symbols so far are split by the next one, all groups at a time.
-    for d in range(min(shallow, symbols.shape[1])):
-        if not len(open_at):
-            break
-        at = np.repeat(open_at - np.concatenate([[0], np.cumsum(open_len)[:-1]]), open_len) + np.arange(open_len.sum())
-        group = np.repeat(np.arange(len(open_at)), open_len)
-        key = symbols[order[at], d]
-        by = np.lexsort((key, group))
-        order[at], key = order[at][by], key[by]
-        new_group = np.concatenate([[True], group[1:] != group[:-1]])
-        differ = np.concatenate([[0], key[1:] ^ key[:-1]]).astype(np.uint64)
-        cut = new_group | (differ != 0)
-        inner = cut & ~new_group
-        lcp[at[inner]] = np.minimum(d * 8 + _leading_bytes(differ[inner]), width)
-        starts = np.flatnonzero(cut)
-        length = np.diff(np.append(starts, len(at)))
-        open_at, open_len = at[starts[length > 1]], length[length > 1]
-    if shallow >= symbols.shape[1]:
-        for a, k in zip(open_at, open_len):
-            lcp[a + 1 : a + k] = width
-        return order, lcp
-    for a, k in zip(open_at.tolist(), open_len.tolist()):
+    if n > 1:
+        differ = symbols[order[1:]] ^ symbols[order[:-1]]
+        first = (differ != 0).argmax(axis=1)
+        word = differ[np.arange(n - 1), first]
+        lcp[1:] = np.where(word == 0, width, np.minimum(first * 8 + _leading_bytes(word), width))
+    for a, k in deep if shallow < symbols.shape[1] else []:
         trie = BlindTrie(width)
         for member in order[a : a + k].tolist():
             trie.insert(rows[member].tobytes(), member)
@@ -227,18 +259,20 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def repeated_anchors(texts: DataFrame) -> DataFrame:
-    """(doc, place, h) of the anchors whose hash occurs more than once.
+    """(doc, place, h) of the anchors whose hash occurs more than once, and a row without a place of each that has more than FREQUENT different surroundings.
 
-    A hash that occurs several times in a batch is known to: one of its rows is sent on under the hash, and the others go anywhere."""
+    A hash that occurs several times in a batch is known to: one of its rows is sent on under the hash, with the number of surroundings that differ, and the others go anywhere."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, places, hashes = [], [], []
+            docs, places, hashes, datas = [], [], [], []
             for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
-                place, h = anchors(text.encode("utf-8", "surrogatepass"))
+                data = text.encode("utf-8", "surrogatepass")
+                place, h = anchors(data)
                 docs.append(np.full(len(place), doc, np.int64))
                 places.append(place.astype(np.int64))
                 hashes.append(h.view(np.int64))
+                datas.append(data)
             if docs:
                 h, doc, place = (np.concatenate(x) for x in (hashes, docs, places))
                 _, first, which, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
@@ -246,14 +280,32 @@ def repeated_anchors(texts: DataFrame) -> DataFrame:
                 other = sure.copy()
                 other[first] = False
                 route = np.where(other, spread(doc, place), h)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (route, h, doc, place, sure)], ["route", "h", "doc", "place", "sure"])
+                # The far ends of the contexts tell whether the surroundings of a repeated anchor differ.
+                at = np.flatnonzero(sure)
+                text = np.repeat(np.arange(len(places)), [len(x) for x in places])[at]
+                ends = {(w, datas[t][max(0, p - REACH) : max(0, p - REACH + 8)], datas[t][p + LENGTH - 8 : p + LENGTH]) for w, t, p in zip(which[at].tolist(), text.tolist(), place[at].tolist())}
+                differ = np.maximum(np.bincount([e[0] for e in ends], minlength=len(n)) - 1, 0) if ends else np.zeros(len(n), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (route, h, doc, place, sure, np.where(other, 0, differ[which]).astype(np.int32))], ["route", "h", "doc", "place", "sure", "n"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[pa.Table, bool] | None = None  # the last row, which the next one may repeat, and whether it was given out
+        key = total = 0  # of the route that the rows have come to
         for b in batches:
             if not len(b):
                 continue
             t = pa.Table.from_batches([b])
+            route, n = t.column("route").to_numpy(), t.column("n").to_numpy()
+            begins = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1]]))
+            sums = np.add.reduceat(n.astype(np.int64), begins)
+            keys = route[begins]
+            if last is not None and keys[0] == key:
+                sums[0] += total
+            elif last is not None and total > FREQUENT:
+                yield frequent([key])
+            key, total = int(keys[-1]), int(sums[-1])
+            often = keys[:-1][sums[:-1] > FREQUENT]
+            if len(often):
+                yield frequent(often)
             told = last is not None and last[1]
             if last is not None:
                 t = pa.concat_tables([last[0], t])
@@ -266,22 +318,74 @@ def repeated_anchors(texts: DataFrame) -> DataFrame:
             if told:
                 keep[0] = False
             yield from t.filter(pa.array(keep)).select(["h", "doc", "place"]).combine_chunks().to_batches()
+        if total > FREQUENT:
+            yield frequent([key])
+
+    def frequent(hashes) -> pa.RecordBatch:
+        none = pa.nulls(len(hashes), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), none, none], ["h", "doc", "place"])
+
+    found = texts.select("doc", "text").mapInArrow(tidy(find), "route long, h long, doc long, place long, sure boolean, n int")
+    return found.repartition("route").sortWithinPartitions("route").mapInArrow(tidy(again), "h long, doc long, place long")
+
+
+CONTEXT = "h long, w long, doc long, c1 long, place long, left int, right int, context binary, start long, stop long"
+_CONTEXT = [x.split()[0] for x in CONTEXT.split(", ")]
+_TYPES = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()] + [pa.int64()] * 2
+
+
+Row = tuple[int, int, int]  # doc, c1, place
+
+
+class Folded(dict):
+    """key -> the earliest row of those that were added; the others' spans are given out as they come."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.spans: list[tuple[int, int, int, int, int]] = []
 
-    found = texts.select("doc", "text").mapInArrow(find, "route long, h long, doc long, place long, sure boolean")
-    return found.repartition("route").sortWithinPartitions("route").mapInArrow(again, "h long, doc long, place long")
+    def add(self, key, own: Row, span: tuple[int, int] | None) -> None:
+        """span: from the row's place on, what the row covers if it isn't the earliest."""
+        known = self.setdefault(key, own)
+        if known == own:
+            return
+        if own < known:
+            self[key], own = own, known
+        if span:
+            self.spans.append((*own, own[2] + span[0], own[2] + span[1]))
+
+
+def _windows(contexts) -> Folded:
+    """contexts: ((left, right, context), row). Their windows by hash."""
+    import xxhash
+
+    out = Folded()
+    for (left, right, context), (doc, c1, place) in contexts:
+        for offset in range(max(0, LENGTH - right), left + 1):
+            out.add(xxhash.xxh3_128_digest(context[REACH - offset : REACH - offset + LENGTH]), (doc, c1, place - offset), (0, LENGTH))
+    return out
 
 
-CONTEXT = "h long, doc long, c1 long, place long, left int, right int, context binary, start long, stop long"
+def _rows_out(contexts: list[tuple], windows: Folded, spans: list[tuple]) -> pa.RecordBatch:
+    rows = contexts + [(int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), *own, None, None, None, None, None) for key, own in windows.items()]
+    cols = [list(c) for c in zip(*rows)] or [[] for _ in _CONTEXT]
+    spans = spans + windows.spans
+    if spans:
+        doc, c1, place, start, stop = (list(c) for c in zip(*spans))
+        none = [None] * len(spans)
+        for c, more in zip(cols, (spread(np.array(doc), np.array(place)).tolist(), none, doc, c1, place, none, none, none, start, stop)):
+            c += more
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], _CONTEXT)
 
 
 def contexts(texts: DataFrame) -> DataFrame:
-    """texts: (doc, c1, text, at: array of (place, h)). A row per kept anchor with the bytes around it. Of equal contexts in a batch only the earliest is
-    sent on; the others are repeated whatever else there is, and give their span at once (start, stop; no context)."""
+    """texts: (doc, c1, text, at: array of (place, h, often)). A row per kept anchor with the bytes around it. Of equal contexts in a batch only the earliest is
+    sent on; the others are repeated whatever else there is, and give their span at once (start, stop; no context). Anchors that occur often give
+    a row per window in place of the context: its hash (h, w) and its start as place; equal windows are folded the same way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            first: dict[tuple, tuple] = {}
-            direct: list[tuple] = []
+            folded, frequent = Folded(), set()
             for doc, c1, text, at in zip(*[b.column(c).to_pylist() for c in ("doc", "c1", "text", "at")]):
                 data = text.encode("utf-8", "surrogatepass")
                 padded = bytes(REACH) + data + bytes(LENGTH)
@@ -289,28 +393,26 @@ def contexts(texts: DataFrame) -> DataFrame:
                     place = p["place"]
                     if place + GRAM > len(data):
                         continue
+                    if p["often"]:
+                        frequent.add(p["h"])
                     left, right = min(place, REACH), min(len(data) - place, LENGTH)
-                    key, own = (p["h"], left, right, padded[place : place + REACH + LENGTH]), (doc, c1, place)
-                    known = first.setdefault(key, own)
-                    if known == own:
-                        continue
-                    if own < known:
-                        first[key], own = own, known
-                    if left + right >= LENGTH:
-                        direct.append((*own, own[2] - left, own[2] - max(0, LENGTH - right) + LENGTH))
-            cols = [[] for _ in range(9)] if not first else [list(c) for c in zip(*[(h, *own, left, right, context, None, None) for (h, left, right, context), own in first.items()])]
-            if direct:
-                doc, c1, place, start, stop = (list(c) for c in zip(*direct))
-                none = [None] * len(direct)
-                for c, more in zip(cols, (spread(np.array(doc), np.array(place)).tolist(), doc, c1, place, none, none, none, start, stop)):
-                    c += more
-            types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()] + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in CONTEXT.split(", ")])
+                    span = (-left, LENGTH - max(0, LENGTH - right)) if left + right >= LENGTH else None
+                    folded.add((p["h"], left, right, padded[place : place + REACH + LENGTH]), (doc, c1, place), span)
+            rows = [(h, None, *own, left, right, context, None, None) for (h, left, right, context), own in folded.items() if h not in frequent]
+            yield _rows_out(rows, _windows((key[1:], own) for key, own in folded.items() if key[0] in frequent), folded.spans)
+
+    return texts.mapInArrow(tidy(run), CONTEXT)
+
 
-    return texts.mapInArrow(run, CONTEXT)
+def windows_of(rows: DataFrame) -> DataFrame:
+    """A row per window of contexts that were too many for their anchor."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right, context, doc, c1, place = (b.column(c).to_pylist() for c in ("left", "right", "context", "doc", "c1", "place"))
+            yield _rows_out([], _windows(zip(zip(left, right, context), zip(doc, c1, place))), [])
 
-SPAN = "doc long, c1 long, start long, stop long"
+    return rows.mapInArrow(tidy(run), CONTEXT)
 
 
 def _chunk(t: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
@@ -351,15 +453,42 @@ def _chunk(t: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
     return out, t.filter(pa.array(~later))
 
 
+def _later(t: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
+    """Spans of windows (sorted by hash and rank) that come after the first of their hash, and the first of the last hash."""
+    h, w, doc, c1, place = (t.column(c).to_numpy() for c in ("h", "w", "doc", "c1", "place"))
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = np.flatnonzero((doc != doc[first]) | (c1 != c1[first]) | (place != place[first]))
+    spans = [pa.array(x[later]) for x in (doc, c1, place, place + LENGTH)]
+    return pa.RecordBatch.from_arrays(spans, ["doc", "c1", "start", "stop"]), t.slice(int(first[-1]), 1)
+
+
 def repeated_spans(rows: DataFrame) -> DataFrame:
+    """rows: of ``contexts``. Rows with start and stop are spans; those with a context are of anchors that have too many, for a second round."""
+
+    def spans(b: pa.RecordBatch) -> pa.RecordBatch:
+        named = dict(zip(b.schema.names, b.columns))
+        return pa.RecordBatch.from_arrays([named.get(c, pa.nulls(len(b), t)) for c, t in zip(_CONTEXT, _TYPES)], _CONTEXT)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        window: pa.Table | None = None
+        over: int | None = None  # the anchor whose contexts are handed on
         n = 0
         for b in batches:
-            done = b.filter(b.column("context").is_null())
+            done = b.filter(b.column("start").is_valid())
             if len(done):
-                yield done.select(["doc", "c1", "start", "stop"])
-                b = b.filter(b.column("context").is_valid())
+                yield spans(done.select(["doc", "c1", "start", "stop"]))
+            many = b.filter(b.column("w").is_valid())
+            if len(many):
+                t = pa.Table.from_batches([many])
+                out, window = _later(t if window is None else pa.concat_tables([window, t]).combine_chunks())
+                yield spans(out)
+            b = b.filter(b.column("context").is_valid())
+            if over is not None and len(b):
+                same = pc.equal(b.column("h"), over)
+                yield b.filter(same)
+                b = b.filter(pc.invert(same))
             held.append(b)
             n += len(b)
             if n < CHUNK:
@@ -368,16 +497,20 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
             h = t.column("h").to_numpy()
             cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
             if cut:
-                yield _chunk(t.slice(0, cut))[0]
+                yield spans(_chunk(t.slice(0, cut))[0])
                 t = t.slice(cut)
-            if len(t) >= CHUNK:  # a very frequent anchor: fold its equal contexts before more rows are read
+            if len(t) >= CHUNK:  # fold equal contexts before more are read
                 out, t = _chunk(t)
-                yield out
+                yield spans(out)
+                if len(t) > CHUNK // 2:
+                    over = int(h[-1])
+                    yield from t.combine_chunks().to_batches()
+                    t = t.slice(len(t))
             held, n = t.combine_chunks().to_batches(), len(t)
         if n:
-            yield _chunk(pa.Table.from_batches(held))[0]
+            yield spans(_chunk(pa.Table.from_batches(held))[0])
 
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, SPAN)
+    return rows.repartition("h").sortWithinPartitions("h", "w", "doc", "c1", "place").mapInArrow(tidy(run), CONTEXT)
 
 
 def merge(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -390,54 +523,66 @@ def merge(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-CUT = "doc long, c1 long, n_removed long, n_spans long, kept binary"
+CUT = "doc long, c1 long, n_removed long, n_spans long, cut_sha string"
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:
-    """texts: (doc, c1, text, spans). The bytes that are left."""
+    """texts: (doc, c1, text, spans). The digest of the bytes that are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in range(5)]
             for doc, c1, text, found in zip(*[b.column(c).to_pylist() for c in ("doc", "c1", "text", "spans")]):
-                data, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
+                data, at, kept = memoryview(text.encode("utf-8", "surrogatepass")), 0, hashlib.sha256()
                 runs = merge([(s["start"], s["stop"]) for s in found])
                 for a, z in runs:
-                    kept.append(data[at:a])
+                    kept.update(data[at:a])
                     at = z
-                kept.append(data[at:])
-                for c, v in zip(cols, (doc, c1, sum(z - a for a, z in runs), len(runs), b"".join(kept))):
+                kept.update(data[at:])
+                for c, v in zip(cols, (doc, c1, sum(z - a for a, z in runs), len(runs), kept.hexdigest())):
                     c.append(v)
-            types = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc", "c1", "n_removed", "n_spans", "kept"])
+            types = [pa.int64()] * 4 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in CUT.split(", ")])
 
-    return texts.mapInArrow(run, CUT)
+    return texts.mapInArrow(tidy(run), CUT)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    small_batches(docs.sparkSession, 500)
+    with arrow_batches(docs.sparkSession, 500):
+        return _deduped(docs)
+
+
+def _deduped(docs: DataFrame) -> DataFrame:
     every = _rows(docs)
-    classes = spill(every.groupBy("c1", "c2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")), "substrings-classes")
-    ident = every.select("doc", "c1", "c2", F.octet_length("text").cast("long").alias("n_bytes"))
-    copies = ident.join(classes.where("copies > 1").select("c1", "c2", "first"), ["c1", "c2"]).where("doc > first").select("doc", "c1", "c2").distinct()
-    copies = spill(copies, "substrings-copies")
+    # Classes of one text need no name; of the others, while they are few, no row is exchanged to learn its class, and a large one is no task's burden.
+    classes = every.groupBy("c1", "c2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    classes = spill(classes, "substrings-classes")
+    ident = every.select("doc", "c1", "c2")
+    copies = spill(join_small(ident, classes, ["c1", "c2"], "inner").where("doc > first").select("doc", "c1", "c2").distinct(), "substrings-copies")
     texts = join_small(every.where(F.octet_length("text") >= LENGTH), copies, ["doc", "c1", "c2"], "left_anti").select("doc", "c1", "text")
 
-    kept = spill(repeated_anchors(texts), "substrings-anchors")
-    places = kept.groupBy("doc").agg(F.collect_set(F.struct("place", "h")).alias("at"))
-    some = join_small(texts, kept.select("doc").distinct(), ["doc"], "left_semi")
+    anchored = spill(repeated_anchors(texts), "substrings-anchors")
+    frequent = anchored.where("place is null").select("h", F.lit(True).alias("often"))
+    kept = join_small(anchored.where("place is not null"), frequent, ["h"], "left").select("doc", F.struct("place", "h", F.coalesce("often", F.lit(False)).alias("often")).alias("at"))
+    places = kept.groupBy("doc").agg(F.collect_set("at").alias("at"))
+    some = join_small(texts, anchored.where("place is not null").select("doc").distinct(), ["doc"], "left_semi")
     around = contexts(some.join(places, "doc").select("doc", "c1", "text", "at"))
     found = spill(repeated_spans(around), "substrings-spans")
+    over = found.where("context is not null")
+    found = found.where("start is not null").select("doc", "c1", "start", "stop")
+    if over.limit(1).count():
+        more = spill(repeated_spans(windows_of(over)), "substrings-spans")
+        found = found.unionByName(more.select("doc", "c1", "start", "stop"))
 
     lists = found.groupBy("doc", "c1").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     some = join_small(texts, found.select("doc", "c1").distinct(), ["doc", "c1"], "left_semi")
     cut = cut_texts(some.join(lists, ["doc", "c1"]).select("doc", "c1", "text", "spans")).dropDuplicates(["doc", "c1"])
-    cut = cut.select("doc", "c1", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha"))
+    cut = spill(cut, "substrings-cut")
 
     base = every.select("doc_id", "doc", "c1", "c2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    joined = base.join(classes, ["c1", "c2"]).join(cut, ["doc", "c1"], "left")
-    copy = (F.col("doc") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
+    joined = join_small(join_small(base, classes, ["c1", "c2"], "left"), cut, ["doc", "c1"], "left")
+    copy = F.coalesce(F.col("doc") > F.col("first"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)
     zero = F.lit(0).cast("long")
     return joined.select(
         "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"), F.when(copy, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
