@@ -2,7 +2,7 @@
 
 Every line's leading ``>`` marks give its quote level. A message's own lines, and its own text as a whole, are normalised (lower case, single
 spaces) and hashed; so are, at every level, the lines, the contiguous passages and the whole that it quotes. A quoted hash is linked to the latest earlier message of
-the conversation that has it: an as-of search over the hash's turns in order, never pairs of all that share it. The message that accounts for most quoted characters (the
+the conversation that has it: an as-of search over the hash's turns in order, by ranges of them, never pairs of all that share it. The message that accounts for most quoted characters (the
 latest of equals) at the shallowest level that has a match is the one replied to. Threads are found by pointer doubling, and messages are put in reply order: by their thread's first turn, then by turn,
 with a gapless position. Only the position needs a sort; it is made by ranges, so no conversation has to fit in a task.
 
@@ -61,12 +61,12 @@ def link(messages: DataFrame) -> DataFrame:
     rows = parse(messages.select(*columns))
     own = F.filter("__lines", lambda x: x["level"] == 0)
     rows = rows.withColumn("__own", own).withColumn("__quoted", F.filter("__lines", lambda x: x["level"] > 0))
-    threads = thread_roots(reply_targets(rows))
+    threads = thread_roots(reply_targets(rows)).withColumnsRenamed({c: f"__{c}" for c in ("parent", "root", "depth")})
     text = F.when(F.size("__quoted") == 0, F.coalesce(F.col("text"), F.lit(""))).otherwise(F.btrim(_join(F.col("__own")), F.lit("\n")))
     levels = F.coalesce(F.array_max(F.transform("__quoted", lambda x: x["level"])), F.lit(0))
     plain = rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], levels.alias("quote_levels"), F.size("__quoted").alias("n_quoted_lines"))
     done = join_small(plain, threads, ["conv_id", "turn"], "left")
-    done = done.select(*columns, F.col("parent").alias("reply_to"), F.coalesce("root", "turn").alias("thread"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), "quote_levels", "n_quoted_lines")
+    done = done.select(*columns, F.col("__parent").alias("reply_to"), F.coalesce("__root", "turn").alias("thread"), F.coalesce("__depth", F.lit(0).cast("long")).alias("depth"), "quote_levels", "n_quoted_lines")
     return positions(done)
 
 
@@ -82,23 +82,31 @@ def reply_targets(rows: DataFrame) -> DataFrame:
     units = known.select("conv_id", "turn", F.explode(_hashes(F.col("__own"))).alias("q")).select("conv_id", "turn", "q.h", "q.h2")
     units = join_small(units, asked.select(*place).distinct(), place, "left_semi").distinct()
     both = asked.withColumn("source", F.lit(None).cast("long")).unionByName(units.select(*place, "turn", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("n"), F.col("turn").cast("long").alias("source")))
-    # At one turn questions come before answers, so a message never answers itself.
-    order = Window.partitionBy(*place).orderBy("turn", F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("parent", F.last("source", ignorenulls=True).over(order)).where("source is null and parent is not null")
+    # At one turn questions come before answers, so a message never answers itself. Ranges cut a passage that a whole conversation quotes; the latest source of the
+    # ranges before goes on into the next one.
+    order = [*place, "turn", F.col("source").asc_nulls_first()]
+    ranged = spill(both.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "quotes-turns")
+    here = Window.partitionBy("__range", *place).orderBy("turn", F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    last = ranged.groupBy("__range", *place).agg(F.max("source").alias("latest"))
+    ahead = Window.partitionBy(*place).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spill(last.withColumn("carried", F.max("latest").over(ahead)).where("carried is not null").drop("latest"), "quotes-carried")
+    local = ranged.withColumn("parent", F.last("source", ignorenulls=True).over(here)).where("source is null")
+    found = join_small(local, carried, ["__range", *place], "left").withColumn("parent", F.coalesce("parent", "carried")).where("parent is not null")
     votes = found.groupBy("conv_id", "turn", "level", "parent").agg(F.sum("n").alias("n"))
     return votes.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("shallow"), "n", "parent"))["parent"].alias("parent"))
 
 
 def thread_roots(links: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent, root, depth): pointer doubling over the links, as many rounds as the logarithm of the longest chain."""
-    state = spill(links.select("*", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")), "quotes-links")
+    """(conv_id, turn, parent, root, depth): pointer doubling over the links, as many rounds as the logarithm of the longest chain. Only messages whose pointer moved go
+    on: those that have come to their thread's first message, however many they are, aren't looked up again."""
+    state = spill(links.select("*", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("moved")), "quotes-links")
     while True:
         up = state.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        joined = state.join(up, ["conv_id", "root"], "left")
-        state = spill(joined.select("conv_id", "turn", "parent", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "quotes-links")
+        joined = state.where("moved").join(up, ["conv_id", "root"], "left")
+        went = joined.select("conv_id", "turn", "parent", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved"))
+        state = spill(went.unionByName(state.where("not moved")), "quotes-links")
         if not state.where("moved").limit(1).count():
             return state.drop("moved")
-        state = state.drop("moved")
 
 
 def positions(rows: DataFrame) -> DataFrame:
@@ -126,12 +134,20 @@ SQL = r"""
     lv AS (SELECT r, min(level) AS top, max(level) AS levels, count(*) AS n FROM line WHERE level > 0 GROUP BY r),
     raw_units AS (SELECT r, conv_id, turn, body FROM line WHERE level = 0 UNION ALL SELECT r, conv_id, turn, own.body FROM own JOIN msg USING (r)),
     units AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(body), '[ \t\r\n\f\v]+', ' ', 'g')) AS t FROM raw_units),
-    quoted AS (SELECT line.* FROM line JOIN lv USING (r) WHERE level = top),
-    raw_quotes AS (SELECT r, conv_id, turn, body FROM quoted UNION ALL SELECT r, any_value(conv_id), any_value(turn), string_agg(body, chr(10) ORDER BY i) FROM quoted GROUP BY r),
-    quotes AS (SELECT DISTINCT r, conv_id, turn, trim(regexp_replace(lower(body), '[ \t\r\n\f\v]+', ' ', 'g')) AS t FROM raw_quotes),
-    found AS (SELECT q.r, q.conv_id, q.turn, q.t, max(u.turn) AS parent FROM quotes q JOIN units u ON q.conv_id = u.conv_id AND q.t = u.t AND u.turn < q.turn WHERE q.t <> '' GROUP BY ALL),
-    votes AS (SELECT r, conv_id, turn, parent, sum(length(t)) AS n FROM found GROUP BY ALL),
-    links AS (SELECT r, conv_id, turn, arg_max(parent, (n, parent)) AS parent FROM votes GROUP BY ALL),
+    -- At each level the lines, the runs that lines of other levels end, those that only shallower ones end, and the whole.
+    at_levels AS (
+        SELECT line.*, l.level AS l, count(*) FILTER (WHERE line.level <> l.level) OVER w AS ended, count(*) FILTER (WHERE line.level < l.level) OVER w AS left_out
+        FROM line JOIN (SELECT DISTINCT r, level FROM line WHERE level > 0) l USING (r) WINDOW w AS (PARTITION BY r, l.level ORDER BY i)),
+    quoted AS (SELECT * FROM at_levels WHERE level = l),
+    raw_quotes AS (
+        SELECT r, conv_id, turn, l, body FROM quoted
+        UNION ALL SELECT r, any_value(conv_id), any_value(turn), l, string_agg(body, chr(10) ORDER BY i) FROM quoted GROUP BY r, l
+        UNION ALL SELECT r, any_value(conv_id), any_value(turn), l, string_agg(body, chr(10) ORDER BY i) FROM quoted GROUP BY r, l, ended
+        UNION ALL SELECT r, any_value(conv_id), any_value(turn), l, string_agg(body, chr(10) ORDER BY i) FROM quoted GROUP BY r, l, left_out),
+    quotes AS (SELECT DISTINCT r, conv_id, turn, l, trim(regexp_replace(lower(body), '[ \t\r\n\f\v]+', ' ', 'g')) AS t FROM raw_quotes),
+    found AS (SELECT q.r, q.conv_id, q.turn, q.l, q.t, max(u.turn) AS parent FROM quotes q JOIN units u ON q.conv_id = u.conv_id AND q.t = u.t AND u.turn < q.turn WHERE q.t <> '' GROUP BY ALL),
+    votes AS (SELECT r, conv_id, turn, l, parent, sum(length(t)) AS n FROM found GROUP BY ALL),
+    links AS (SELECT r, conv_id, turn, arg_max(parent, (-l, n, parent)) AS parent FROM votes GROUP BY ALL),
     up AS (SELECT conv_id, turn, min(parent) AS parent FROM links GROUP BY ALL),
     walk AS (
         SELECT r, conv_id, parent AS root, 1 AS depth FROM links
