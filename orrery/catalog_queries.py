@@ -69,7 +69,7 @@ def filter_nulls(spark, sf_dir):
 
 for _name, _test, _where in (
     ("filter_in", {"field": "p_size", "op": "in", "value": [1, 5, 9]}, "p_size IN (1, 5, 9)"),
-    ("filter_contains", {"field": "p_name", "op": "contains", "value": "1"}, "contains(p_name, '1')"),
+    ("filter_contains", {"field": "p_type", "op": "contains", "value": "R"}, "contains(p_type, 'R')"),
     ("filter_prefix", {"field": "p_type", "op": "startsWith", "value": "S"}, "starts_with(p_type, 'S')"),
     ("filter_suffix", {"field": "p_type", "op": "endsWith", "value": "L"}, "ends_with(p_type, 'L')"),
     ("filter_regex", {"field": "p_brand", "op": "matches", "value": "#[12]"}, "regexp_matches(p_brand, '#[12]')"),
@@ -133,6 +133,30 @@ def expand(spark, sf_dir):
     return data(spark, sf_dir, "events", **PROPS).project("event_id", "props").expand("props").to_df()
 
 
+@query("SELECT doc_id AS id, (CASE WHEN doc_id % 700 = 0 THEN 1 ELSE 0 END)::BIGINT AS first, n_chars AS size FROM documents")
+def expand_map(spark, sf_dir):
+    """A map with 700 different keys in all rows; each becomes a field."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made = d.select(F.col("doc_id").alias("id"), F.create_map(F.format_string("k%03d", F.col("doc_id") % 700), F.lit(1).cast("long"), F.lit("size"), F.col("n_chars")).alias("kv"))
+    out = Engine(spark).register("maps", made).expand("kv").to_df()
+    return out.select("id", F.coalesce("k000", F.lit(0).cast("long")).alias("first"), "size")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey OFFSET 14000")
+def offset_alone(spark, sf_dir):
+    return data(spark, sf_dir, "orders").sort("o_totalprice", "o_orderkey").offset(14000).project("o_orderkey").to_df()
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_partkey % 5 = 0 THEN 'NaN'::DOUBLE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_discount END AS d FROM lineitem)
+          SELECT l_suppkey, l_orderkey FROM t QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY d IS NULL, coalesce(isnan(d), FALSE) DESC, d DESC, l_orderkey, l_linenumber) = 1""")
+def unique_desc_nan(spark, sf_dir):
+    """First rows under a descending order with NaN, which comes first, and null, which comes last."""
+    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    d = F.when(F.col("l_partkey") % 5 == 0, float("nan")).when(F.col("l_partkey") % 7 != 0, F.col("l_discount"))
+    s = Engine(spark).register("lines", raw.select("l_orderkey", "l_linenumber", "l_suppkey", d.alias("d")))
+    return s.sort("l_orderkey", "l_linenumber").order(("d", "desc")).unique("l_suppkey").project("l_suppkey", "l_orderkey").to_df()
+
+
 # -- aggregates and groups --------------------------------------------------------------------------------------------------------------------
 
 _AGG = {"count": ("count(*)", "{}"), "sum": ("sum(o_totalprice)", "round({}, 2)"), "avg": ("avg(o_totalprice)", "round({}, 4)"), "min": ("min(o_totalprice)", "{}"), "max": ("max(o_totalprice)", "{}"), "median": ("median(o_totalprice)", "round({}, 4)"), "std": ("stddev_pop(o_totalprice)", "round({}, 3)")}
@@ -186,16 +210,12 @@ def product(spark, sf_dir):
 
 
 def _linked(spark, sf_dir) -> Engine:
-    """customers and orders with typed references to what they belong to."""
-    from .functions.types import QLType
-
+    """customers and orders with references to what they belong to."""
     engine = Engine(spark)
-    data(spark, sf_dir, "nation", engine, identity=("n_nationkey",))
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    engine.register("customer", read("customer").select("c_custkey", "c_name", F.struct(F.col("c_nationkey").alias("n_nationkey")).alias("nation")), identity=("c_custkey",))
-    engine.register("orders", read("orders").select("o_orderkey", "o_totalprice", F.struct(F.col("o_custkey").alias("c_custkey")).alias("customer")), identity=("o_orderkey",))
-    for n, f, target in (("customer", "nation", "nation"), ("orders", "customer", "customer")):
-        engine.version(n).schema.fields[f].type = QLType("reference", (target,))
+    data(spark, sf_dir, "nation", engine, identity=("n_nationkey",))
+    engine.register("customer", read("customer").withColumnRenamed("c_nationkey", "nation"), identity=("c_custkey",), references={"nation": "nation"})
+    engine.register("orders", read("orders").withColumnRenamed("o_custkey", "customer"), identity=("o_orderkey",), references={"customer": "customer"})
     return engine
 
 
@@ -220,6 +240,12 @@ named("vec_cosine", lambda spark, sf_dir: _nearest(spark, sf_dir, "cosine"), f"S
 named("vec_euclid", lambda spark, sf_dir: _nearest(spark, sf_dir, "euclidean"), f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], {_VECTOR}::DOUBLE[]), 6) AS _distance FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_VECTOR}::DOUBLE[]), vec_id LIMIT 10")
 
 
+@query(f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], {_VECTOR}::DOUBLE[]), 6) AS _distance FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_VECTOR}::DOUBLE[]), vec_id LIMIT 15 OFFSET 5")
+def vec_distance(spark, sf_dir):
+    s = data(spark, sf_dir, "embeddings", kind="vector").distance("embedding", _VECTOR).sort("vec_id").order("_distance").offset(5).limit(15)
+    return s.project("vec_id", "_distance").to_df().withColumn("_distance", F.round("_distance", 6))
+
+
 # -- graphs -----------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -237,9 +263,9 @@ def bfs_path(spark, sf_dir):
     return _turns(spark, sf_dir).where({"field": "turn", "op": "=", "value": 0}).traverse("next", depth=3).project("conv_id", "turn").to_df()
 
 
-def _supplies(spark, sf_dir) -> Engine:
+def _supplies(spark, sf_dir, path: str | None = None) -> Engine:
     """Suppliers (ids below zero) and parts, linked both ways where a line has them."""
-    engine = Engine(spark)
+    engine = Engine(spark, path)
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     links = li.groupBy((-F.col("l_suppkey") - 1).alias("source"), F.col("l_partkey").alias("target")).agg(F.max("l_quantity").alias("quantity")).withColumn("label", F.lit("supplies")).withColumn("bidir", F.lit(True))
     nodes = links.select(F.col("source").alias("id")).union(links.select("target")).distinct().withColumn("kind", F.when(F.col("id") < 0, "supplier").otherwise("part"))
@@ -296,15 +322,93 @@ def delete(spark, sf_dir):
     return s.execute("nation().(n_nationkey)").to_df()
 
 
-@query('SELECT l_orderkey, l_linenumber, count(*) AS "count" FROM lineitem GROUP BY ALL HAVING count(*) > 1')
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1")
 def violations_pk(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").count().where("count > 1")
+    """The records that the primary key of a new dataset refuses."""
+    engine = Engine(spark)
+    number = {"type": "int", "constraints": ["pk"]}
+    engine.create_dataset("lines", "table", {"l_orderkey": number, "l_linenumber": number, "l_partkey": "int"})
+    refused = engine.violations("lines", data(spark, sf_dir, "lineitem", engine).project("l_orderkey", "l_linenumber", "l_partkey"))
+    return refused.where("code = 'primary_key'").select("row.*")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)")
 def violations_fk(spark, sf_dir):
-    o, c = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
-    return o.join(c.where("c_nationkey < 5"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("o_orderkey")
+    """The records whose references lead nowhere."""
+    engine = Engine(spark)
+    engine.register("customer", spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_nationkey < 5"), identity=("c_custkey",))
+    engine.create_dataset("sales", "table", {"o_orderkey": {"type": "int", "constraints": ["pk"]}, "o_custkey": "customer"})
+    refused = engine.violations("sales", data(spark, sf_dir, "orders", engine).project("o_orderkey", "o_custkey"))
+    return refused.where("code = 'missing_reference'").select(F.col("row.o_orderkey").alias("o_orderkey"))
+
+
+@query("SELECT o_orderkey, c_name AS customer_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000")
+def insert_references(spark, sf_dir):
+    """A selection whose keys become references; they are checked by a join."""
+    engine = _linked(spark, sf_dir)
+    engine.create_dataset("sales", "table", {"o_orderkey": {"type": "int", "constraints": ["pk"]}, "o_custkey": "customer"})
+    engine.insert_selection("sales", data(spark, sf_dir, "orders", Engine(spark)).where({"field": "o_totalprice", "op": ">", "value": 300000}).project("o_orderkey", "o_custkey"))
+    return Session(engine).execute("sales().(o_orderkey, o_custkey(c_name))").to_df().select("o_orderkey", F.col("o_custkey.c_name").alias("customer_name"))
+
+
+@query("SELECT event_id AS key, CASE WHEN event_id % 500 = 0 THEN 'seen' ELSE event_type END AS value FROM events WHERE event_id <> 7 UNION ALL SELECT -5, 'new'")
+def kv_upsert(spark, sf_dir):
+    """Keys that are set over registered pairs, one of them twice, one new, and one deleted."""
+    engine = Engine(spark)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("key"), F.col("event_type").alias("value"))
+    engine.register("kinds", e, kind="kv")
+    every = [r["key"] for r in e.where("key % 500 = 0").select("key").collect()]
+    engine.insert("kinds", [{"key": k, "value": "once"} for k in every])
+    engine.insert("kinds", [{"key": k, "value": "seen"} for k in [*every, -5]])
+    engine.kv("kinds").set(-5, "new")
+    engine.kv("kinds").delete(7)
+    return engine.select("kinds").to_df()
+
+
+@query("SELECT n_name FROM nation WHERE n_regionkey IN (1, 3) UNION ALL SELECT 'Atlantis'")
+def graph_links(spark, sf_dir):
+    """Nodes and links that are added one by one, beside links of a table."""
+    engine = Engine(spark)
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    nodes = nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")).unionByName(region.select((-F.col("r_regionkey") - 1).cast("long").alias("id"), F.col("r_name").alias("name")))
+    engine.register("places", nodes, kind="graph")
+    engine.register_links("places", nation.select(F.lit("has").alias("label"), (-F.col("n_regionkey") - 1).cast("long").alias("source"), F.col("n_nationkey").cast("long").alias("target")))
+    engine.insert("places", {"id": 900, "name": "Atlantis"})
+    one = lambda i: engine.select("places").where({"field": "id", "op": "=", "value": i})
+    engine.add_link(one(-2), one(900), label="has")
+    engine.add_link(one(900), one(-4), label="near", bidir=True)
+    start = engine.select("places").where({"field": "id", "op": "in", "value": [-2, -4]})
+    return start.traverse("has").project("name").to_df().withColumnRenamed("name", "n_name")
+
+
+@query("SELECT code FROM (VALUES ('primary_key'), ('unique'), ('required'), ('null'), ('type'), ('unknown_field'), ('readonly'), ('reference_in_use'), ('missing_reference')) t(code)")
+def constraint_codes(spark, sf_dir):
+    """What each kind of wrong record or change is refused for."""
+    from .errors import DiagnosticError
+
+    s = session(spark, sf_dir, "nation")
+    s.execute("create dataset ports(table{id(int, pk), code(str(3), unique), depth(float), owner(str(9), readonly, default('none'))})")
+    s.execute("create dataset calls(table{id(int, pk), port(ports)})")
+    s.execute('add {id=1, code="abc", depth=4}, {id=2, code="abd", depth=5} into ports')
+    s.execute("add {id=1, port=1} into calls")
+    wrong = (
+        'add {id=1, code="x", depth=1} into ports', 'add {id=3, code="abc", depth=1} into ports', 'add {id=3, code="x"} into ports', 'add {id=3, code=null, depth=1} into ports', 'add {id=3, code="long", depth=1} into ports',
+        'add {id=3, code="x", depth=1, hue=2} into ports', 'ports({id=1}).update({owner="other"})', "ports({id=1}).delete()", "add {id=2, port=9} into calls",
+    )
+    found = []
+    for statement in wrong:
+        try:
+            s.execute(statement)
+        except DiagnosticError as e:
+            found.append((e.code,))
+    return spark.createDataFrame(found, "code string")
+
+
+@query("SELECT 3 AS size, 2.5::DOUBLE AS distance, 'AB' AS up, 'ab' AS low, TRUE AS has, 42::BIGINT AS number, 6::BIGINT AS items")
+def builtin_functions(spark, sf_dir):
+    s = session(spark, sf_dir, "region")
+    got = [s.execute(q) for q in ("len('abc')", "abs(-2.5)", "upper('ab')", "lower('AB')", "contains([1, 2], 2)", "cast('42', int)", "len(list(1, 2, 2, 3, 3, 3))")]
+    return spark.createDataFrame([tuple(got)], "size int, distance double, up string, low string, has boolean, number long, items long")
 
 
 # -- the language -----------------------------------------------------------------------------------------------------------------------------
@@ -326,7 +430,7 @@ def dataset_options(spark, sf_dir):
     return session(spark, sf_dir, "orders").execute('orders({o_orderstatus="P"}, {select=[o_orderkey, o_totalprice], order=[o_totalprice, desc], offset=5, limit=10})').to_df()
 
 
-@query()
+@query("SELECT 'remove_zero_offset' AS rule")
 def explain(spark, sf_dir):
     e = session(spark, sf_dir, "orders").execute("orders({o_orderkey=1}).(o_orderkey).offset(0).limit(5).limit(2).explain()")
     return spark.createDataFrame([(r,) for r in e["rules"]], "rule string")
@@ -354,6 +458,18 @@ def recover(spark, sf_dir):
     return Engine(spark, path).select("nation").project("n_nationkey", "n_name").to_df()
 
 
+@query(f"{_STEPS} SELECT id FROM l1 UNION ALL SELECT id FROM l2")
+def recover_graph(spark, sf_dir):
+    """Links of a table, with typed data, through a restart."""
+    import uuid
+
+    from .sources.files import shared_dir
+
+    path = f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}"
+    _supplies(spark, sf_dir, path)
+    return Session(Engine(spark, path)).execute("market({id=-2}).traverse(supplies({quantity>=49}), depth=2).(id)").to_df()
+
+
 @query("SELECT event_id, event_type, json_extract(props, '$.k')::BIGINT AS k FROM events WHERE value > 50")
 def stream_expand(spark, sf_dir):
     """The row-wise operators over a stream that ends with the file."""

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..errors import QueryError, SchemaError, TypeMismatchError, UnknownFieldError
 from ..functions.types import QLType
 from ..plans.nodes import Field, Order
+from ..sources.files import stored
 from . import predicates, vector
 
 HAS = "__has"  # of schemaless records: the names that the record has
@@ -34,6 +35,7 @@ class Source:
     edges: Callable[[], Any] | None = None
     edge_fields: Callable[[str], set[str]] | None = None
     resolve: Callable[[str], Source] | None = None
+    cache: dict = field(default_factory=dict, compare=False)  # what has been computed for this version
 
     @property
     def schemaless(self) -> bool:
@@ -49,18 +51,19 @@ class Frame:
     fields: dict[str, QLType | None]
     json_types: dict[str, T.DataType] = field(default_factory=dict)
     schemaless: bool = False
+    is_sorted: bool = False  # the DataFrame's rows are in order already
 
     def order(self) -> list[Column]:
         return [F.col(k).asc_nulls_first() if asc else F.col(k).desc_nulls_last() for k, asc in self.keys]
 
     def sorted(self) -> DataFrame:
-        return self.df.orderBy(*self.order()) if self.keys else self.df
+        return self.df.orderBy(*self.order()) if self.keys and not self.is_sorted else self.df
 
     def visible(self) -> list[Column]:
         return [col(n) for n in self.fields] + ([F.col(HAS)] if self.schemaless else [])
 
     def with_df(self, df: DataFrame, **changes: Any) -> Frame:
-        return replace(self, df=df, **changes)
+        return replace(self, df=df, **{"is_sorted": False, **changes})
 
     def need(self, name: str, span=None) -> QLType | None:
         if name not in self.fields:
@@ -115,11 +118,24 @@ def reverse(f: Frame) -> Frame:
 
 
 def limit(f: Frame, n: int) -> Frame:
-    return f.with_df(f.sorted().limit(n))
-
-
-def offset(f: Frame, n: int) -> Frame:
-    return f.with_df(f.sorted().offset(n))
+    return f.with_df(f.sorted().limit(n), is_sorted=True)
+
+
+def offset(f: Frame, n: int, then_limit: bool = False) -> Frame:
+    """Without the first n rows. Before a limit this is a part of the top-k node; alone it numbers rows by ranges of the order, so no task gets the whole table."""
+    if then_limit or not f.keys:
+        return f.with_df(f.sorted().offset(n), is_sorted=True)
+    # Stored, so that the ranges can't change between counting and dropping.
+    ranged = stored(f.df.repartitionByRange(*f.order()).sortWithinPartitions(*f.order()).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    left, first = n, 0
+    for r in sorted(ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):  # a row a partition
+        if left < r["n"]:
+            first = (r["part"] << 33) + left
+            break
+        left -= r["n"]
+        first = (r["part"] + 1) << 33
+    return f.with_df(ranged.where(F.col("__at") >= first).drop("__at"))
 
 
 def canonical(f: Frame, names: list[str]) -> list[Column]:
@@ -140,29 +156,40 @@ def canonical(f: Frame, names: list[str]) -> list[Column]:
     return out
 
 
+def downward(c: Column, kind: T.DataType) -> list[Column]:
+    """Columns whose ascending order is the descending one of c, which isn't null."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return [~F.isnan(c), -F.nanvl(c, F.lit(0.0))]  # NaN is the largest number
+    if isinstance(kind, T.DecimalType):
+        return [-c]
+    if isinstance(kind, T.IntegralType):
+        return [F.bitwise_not(c)]
+    if isinstance(kind, T.TimestampType):
+        return [-F.unix_micros(c)]
+    if isinstance(kind, T.TimestampNTZType):
+        return [-F.unix_micros(c.cast("timestamp"))]
+    if isinstance(kind, T.DateType):
+        return [-F.unix_date(c)]
+    if isinstance(kind, T.BooleanType):
+        return [~c]
+    if isinstance(kind, T.ArrayType):
+        items, element = c, kind.elementType
+    else:  # by code points
+        items, element = F.transform(F.split(c.cast("string"), ""), lambda x: F.when(x != "", F.ascii(x)).otherwise(-1)), T.IntegerType()
+
+    def item(x: Column) -> Column:  # what is shorter comes after all that goes on; nulls come last
+        keys = [x.isNull(), *[F.when(x.isNotNull(), k) for k in downward(x, element)]]
+        return F.struct(F.lit(False).alias("end"), *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+
+    return [F.concat(F.transform(items, item), F.array(item(F.lit(None).cast(element)).withField("end", F.lit(True))))]
+
+
 def rank_keys(f: Frame) -> list[Column]:
     """Columns whose ascending order is the frame's: minima over them find first rows, with sums in each task before a shuffle."""
     out: list[Column] = []
     for k, asc in f.keys:
-        kind, c = f.df.schema[k].dataType, F.col(k)
-        if asc:
-            out.append(c)
-            continue
-        if isinstance(kind, T.NumericType):
-            down: Column = -c.cast("decimal(38,18)") if isinstance(kind, T.DecimalType) else -c.cast("double") if isinstance(kind, (T.FloatType, T.DoubleType)) else -c.cast("long")
-        elif isinstance(kind, T.TimestampType):
-            down = -F.unix_micros(c)
-        elif isinstance(kind, T.TimestampNTZType):
-            down = -F.unix_micros(c.cast("timestamp"))
-        elif isinstance(kind, T.DateType):
-            down = -F.unix_date(c)
-        elif isinstance(kind, T.BooleanType):
-            down = -c.cast("int")
-        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
-            down = F.concat(F.transform(c, lambda x: -x.cast("long")), F.array(F.lit(1).cast("long")))
-        else:  # code points, negated, with an end that sorts after any of them
-            down = F.concat(F.transform(F.split(c.cast("string"), ""), lambda x: -F.ascii(x)), F.array(F.lit(1)))
-        out += [c.isNull(), down]  # nulls come last downwards
+        c = F.col(k)
+        out += [c] if asc else [c.isNull(), *downward(c, f.df.schema[k].dataType)]  # nulls come last downwards
     return out
 
 

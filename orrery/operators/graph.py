@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import TraversalError, UnknownFieldError
@@ -30,20 +30,21 @@ def traverse(start: Frame, label: str, depth: int, predicate: Any, source: Sourc
             raise UnknownFieldError(f"links {label} have no field {name!r}", field=name)
         if name not in known:
             raise UnknownFieldError(f"links {label} have no field {name!r}", field=name)
-    links = edges.where(F.col("label") == label)
-    if predicate:
-        links = links.where(predicates.lower(predicate, fields))
-    forward = links.select(F.col("source").alias("__from"), F.col("target").alias("__to"), F.col("id").alias("__link"))
-    back = links.where("bidir").select(F.col("target").alias("__from"), F.col("source").alias("__to"), F.col("id").alias("__link"))
-    steps = stored(forward.unionByName(back))
+    kept = ("steps", label, repr(predicate))
+    if kept not in source.cache:  # written once for a version of the graph
+        links = edges.where(F.col("label") == label)
+        if predicate:
+            links = links.where(predicates.lower(predicate, fields))
+        forward = links.select(F.col("source").alias("__from"), F.col("target").alias("__to"), F.col("id").alias("__link"))
+        back = links.where("bidir").select(F.col("target").alias("__from"), F.col("source").alias("__to"), F.col("id").alias("__link"))
+        source.cache[kept] = stored(forward.unionByName(back))
+    steps = source.cache[kept]
     nodes = source.frame()
-    ids = nodes.df.select(F.col("id").alias("__to"))
-    if depth > 1:  # looked at in every level
-        ids = stored(ids)
 
     if ordered:
-        # The order of the starting rows; they are as few as what was selected.
-        numbered = start.df.select(F.col("id").alias("__node"), F.row_number().over(Window.orderBy(*start.order())).cast("long").alias("__n"))
+        # Numbers in the order of the starting rows, by ranges; gaps don't matter.
+        ranged = start.df.repartitionByRange(*start.order()).sortWithinPartitions(*start.order())
+        numbered = stored(ranged.select(F.col("id").alias("__node"), F.monotonically_increasing_id().alias("__n")))
         first = numbered.groupBy("__node").agg(F.min("__n").alias("__n")).select("__node", F.array("__n").alias("__path"))
     else:
         first = start.df.select(F.col("id").alias("__node")).distinct().withColumn("__path", F.array(F.lit(0).cast("long")))
@@ -53,9 +54,9 @@ def traverse(start: Frame, label: str, depth: int, predicate: Any, source: Sourc
     for level in range(1, depth + 1):
         found = frontier.join(steps, F.col("__node") == F.col("__from")).select("__to", F.concat("__path", F.array("__link")).alias("__path"))
         new = found.join(visited, F.col("__to") == F.col("__node"), "left_anti").groupBy("__to").agg(F.min("__path").alias("__path"))
-        checked = new.join(ids.withColumn("__there", F.lit(True)), "__to", "left").where(F.when(F.col("__there").isNull(), raise_("invalid_traversal", "a link leads to no node").cast("boolean")).otherwise(True))
-        frontier = stored(checked.select(F.col("__to").alias("__node"), "__path"))
-        if not frontier.limit(1).count():
+        seen = Observation()
+        frontier = stored(new.select(F.col("__to").alias("__node"), "__path").observe(seen, F.count(F.lit(1)).alias("n")))
+        if not seen.get["n"]:
             break
         reached.append(frontier.withColumn("__level", F.lit(level)))
         visited = visited.unionByName(frontier.select("__node"))  # tables that are stored already
@@ -64,5 +65,6 @@ def traverse(start: Frame, label: str, depth: int, predicate: Any, source: Sourc
     all_levels = reached[0]
     for r in reached[1:]:
         all_levels = all_levels.unionByName(r)
-    df = nodes.df.drop(*[k for k, _ in nodes.keys]).join(all_levels, F.col("id") == F.col("__node")).drop("__node")
+    df = all_levels.join(nodes.df.drop(*[k for k, _ in nodes.keys]), F.col("id") == F.col("__node"), "left")
+    df = df.where(F.when(F.col("id").isNull(), raise_("invalid_traversal", "a link leads to no node").cast("boolean")).otherwise(True)).drop("__node")
     return Frame(df.withColumnsRenamed({"__level": "__t0", "__path": "__t1"}), (("__t0", True), ("__t1", True)), nodes.fields, nodes.json_types, nodes.schemaless)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -228,11 +228,11 @@ class Selection:
             if isinstance(n, (P.Limit, P.Offset)) or isinstance(n, P.Unique) and n.names:
                 need = True
         f = self.source.frame()
-        for n, seen in zip(plan, reversed(observed)):
-            f = self._apply(f, n, seen)
+        for i, (n, seen) in enumerate(zip(plan, reversed(observed))):
+            f = self._apply(f, n, seen, plan[i + 1] if i + 1 < len(plan) else None)
         return f
 
-    def _apply(self, f: Frame, n: P.Node, ordered: bool) -> Frame:
+    def _apply(self, f: Frame, n: P.Node, ordered: bool, following: P.Node | None = None) -> Frame:
         s = self.source
         if isinstance(n, (P.Filter, P.IndexLookup)):
             return X.where(f, n.predicate)
@@ -245,7 +245,7 @@ class Selection:
         if isinstance(n, P.Limit):
             return X.limit(f, n.count)
         if isinstance(n, P.Offset):
-            return X.offset(f, n.count)
+            return X.offset(f, n.count, isinstance(following, P.Limit))
         if isinstance(n, P.Unique):
             return X.unique(f, n.names, ordered)
         if isinstance(n, P.Flatten):
@@ -332,13 +332,14 @@ class GroupedSelection:
         raise AttributeError(operation)
 
     def to_df(self, ordered: bool = False) -> DataFrame:
-        """(field, records): the groups by first row, each with its records in order."""
+        """(field, records): the groups by first row, each with its records in order. A group is one row, so it has to fit in a task; aggregates don't collect it."""
         f = self.selection.frame(True)
         f.need(self.field)
-        key = _group_key(f, self.field)
-        ranked = f.df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*(f.order() or [F.lit(0)]))))
-        item = F.struct("__n", F.struct(*f.visible()).alias("r"))
-        out = ranked.groupBy(col(self.field)).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["r"]).alias("records"), *_first_keys(f))
+        # One exchange; records are sorted inside their group's array. A number makes their places differ, so that the records themselves are never compared.
+        numbered = f.df.withColumn("__n", F.monotonically_increasing_id())
+        place = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(X.rank_keys(f))], "__n").alias("place")
+        records = F.array_sort(F.collect_list(F.struct(place, F.struct(*f.visible()).alias("r"))), lambda a, b: F.when(a["place"] < b["place"], -1).otherwise(1))
+        out = numbered.groupBy(col(self.field)).agg(F.transform(records, lambda x: x["r"]).alias("records"), *_first_keys(f))
         if ordered:
             out = out.orderBy(*_group_order(f))
         return out.select(col(self.field), "records")
@@ -358,10 +359,6 @@ class GroupedSelection:
         return self.selection.explain() | {"group": self.field}
 
 
-def _group_key(f: Frame, name: str) -> Any:
-    return X.canonical(replace(f, schemaless=False), [name])[0]
-
-
 _SIGNED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 

@@ -11,8 +11,10 @@ import uuid as uuid_module
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +29,35 @@ from .schema import MISSING, DatasetSchema
 
 KINDS = {"table": "table", "document": "document", "vector": "vector", "graph": "graph", "kv": "kv", "kvs": "kv"}
 ORD = "__ord"
+FILE = "__file"  # of rows of files: the path comes first in the order
+LAST = "~"  # after every path
 FLUSH = 10_000
 
 
+def with_places(df: DataFrame) -> DataFrame:
+    """``df`` with columns that tell the order of its rows. Rows of Parquet files have their file's path and their number in it, which let filters reach the scan;
+    others are numbered as their partitions come."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.nodeName() == "LogicalRelation" and "_metadata" not in df.columns:
+        try:
+            return df.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ORD))
+        except AnalysisException:  # a format without numbered rows
+            pass
+    return df.withColumn(ORD, F.monotonically_increasing_id())
+
+
+def retyped(df: DataFrame, name: str, old: QLType | None, new: QLType | None, kind: T.DataType) -> DataFrame:
+    """``df`` with a schemaless field as the type that it and other records have in common."""
+    if new is not None and new.kind == "json" and old is not None and old.kind != "json":
+        listed = F.to_json(F.array(col(name)))
+        return df.withColumn(name, F.when(col(name).isNotNull(), F.substr(listed, F.lit(2), F.length(listed) - 2)))
+    if not isinstance(df.schema[name].dataType, (T.StructType, T.ArrayType, T.MapType)) and df.schema[name].dataType != kind:
+        return df.withColumn(name, col(name).cast(kind))
+    return df
+
+
 def merge_json(a: T.DataType | None, b: T.DataType | None) -> T.DataType | None:
     """The Spark type that both read as; text where they differ."""
     if a is None or b is None or a == b:
@@ -107,7 +135,9 @@ class Version:
     links: tuple[dict, ...] = ()
     link_base: DataFrame | None = None
     link_fields: Mapping[str, tuple[str, ...]] = field(default_factory=dict)  # label -> names of its data
+    link_types: Mapping[str, QLType | None] = field(default_factory=dict)  # of link_base's data
     next_link: int = 1
+    hidden: tuple = ()  # ids or keys of base rows that later ones replace, or that are deleted
     cache: dict = field(default_factory=dict, compare=False)
 
     @property
@@ -239,18 +269,31 @@ class Engine:
 
         return self._mutate(create)
 
-    def register(self, name: str, df: DataFrame, kind: str = "table", identity: tuple[str, ...] = (), **json_types: T.DataType) -> Selection:
-        """An outside DataFrame as a dataset. Its rows are in the order of the files and of the rows in them."""
-        spec = {c: {"type": "json" if c in json_types else of_spark(t.dataType), "constraints": ["pk"] if c in identity else ["nullable"]} for c, t in zip(df.columns, df.schema)}
+    def register(self, name: str, df: DataFrame, kind: str = "table", identity: tuple[str, ...] = (), references: Mapping[str, str] | None = None, **json_types: T.DataType) -> Selection:
+        """An outside DataFrame as a dataset. Its rows are in the order of the files' paths and of the rows in them. ``references`` names the dataset that a field's values
+        (its key, or a struct of it) are records of."""
+        for n, target in (references or {}).items():
+            ident = self.version(target).identity
+            if not ident:
+                raise SchemaError(f"{n}: {target} has no identity", field=n)
+            if not isinstance(df.schema[n].dataType, T.StructType):
+                if len(ident) != 1:
+                    raise SchemaError(f"{n}: {target} has a key of several fields", field=n)
+                key = self._identities(self.current)[target][ident[0]].dataType
+                df = df.withColumn(n, F.when(col(n).isNotNull(), F.struct(col(n).cast(key).alias(ident[0]))))
+        shown = lambda c, t: (references or {}).get(c) or ("json" if c in json_types else of_spark(t.dataType))
+        spec = {c: {"type": shown(c, t), "constraints": ["pk"] if c in identity else ["nullable"]} for c, t in zip(df.columns, df.schema)}
         schema = DatasetSchema.from_mapping(spec)
 
         def put() -> None:
-            base = df.withColumn(ORD, F.monotonically_increasing_id())
+            base = with_places(df)
+            after = 0 if FILE in base.columns else 1 << 62
             if kind in ("graph", "kv"):
                 base = base.withColumn(HAS, F.array(*[F.lit(c) for c in df.columns]))
-                self._put(Version(name, kind, None, base, dict(schema.types()), loose=dict(schema.types()), json_types=json_types, next=1 << 62))
+                loose = {n: t.bare for n, t in schema.types().items()}
+                self._put(Version(name, kind, None, base, loose, loose=loose, json_types=json_types, next=after))
             else:
-                self._put(Version(name, kind, schema, base, dict(schema.types()), json_types=json_types, next=1 << 62))
+                self._put(Version(name, kind, schema, base, dict(schema.types()), json_types=json_types, next=after))
 
         self._mutate(put)
         return self.select(name)
@@ -278,7 +321,7 @@ class Engine:
 
         return Source(
             v.name, v.kind, lambda: self._frame(v, snapshot), v.fields, v.identity, v.schema.indexed if v.schema else frozenset(), v.schema.dimensions if v.schema else {},
-            (lambda: self._links(v)) if v.kind == "graph" else None, lambda label: set(v.link_fields.get(label, ())), resolve,
+            (lambda: self._links(v)) if v.kind == "graph" else None, lambda label: set(v.link_fields.get(label, ())), resolve, v.cache,
         )
 
     def select(self, name: str) -> Selection:
@@ -296,27 +339,41 @@ class Engine:
             fields = v.fields
             ids = self._identities(snapshot)
             types = {n: spark_type(t, ids) if t is not None else T.StringType() for n, t in fields.items()}
-            schema = T.StructType([T.StructField(ORD, T.LongType()), *[T.StructField(n, t) for n, t in types.items()], *([T.StructField(HAS, T.ArrayType(T.StringType()))] if v.schemaless else [])])
+            filed = v.base is not None and FILE in v.base.columns
+            places = [T.StructField(FILE, T.StringType()), T.StructField(ORD, T.LongType())][0 if filed else 1 :]
+            schema = T.StructType([*places, *[T.StructField(n, t) for n, t in types.items()], *([T.StructField(HAS, T.ArrayType(T.StringType()))] if v.schemaless else [])])
             data = []
             for i, r in v.rows:
                 values = [None if r.get(n) is None else encode(r[n]) if t is not None and t.kind == "json" and v.schemaless else float(r[n]) if t == QLType("float") else to_spark(r[n], t) for n, t in fields.items()]
-                data.append((i, *values, *([list(r)] if v.schemaless else [])))
-            df = self.spark.createDataFrame(data, schema)
-            if v.base is not None:
-                base = v.base
+                data.append((*((LAST, i) if filed else (i,)), *values, *([list(r)] if v.schemaless else [])))
+            if v.base is None:
+                df = self.spark.createDataFrame(data, schema)
+            else:
+                df = self._shown(v)
                 for n, t in fields.items():
-                    old = v.base_fields.get(n)
-                    if n not in base.columns:
-                        base = base.withColumn(n, F.lit(None).cast(types[n]))
-                    elif t is not None and t.kind == "json" and old is not None and old.kind != "json":
-                        listed = F.to_json(F.array(col(n)))
-                        base = base.withColumn(n, F.when(col(n).isNotNull(), F.substr(listed, F.lit(2), F.length(listed) - 2)))
-                    elif not isinstance(base.schema[n].dataType, (T.StructType, T.ArrayType, T.MapType)) and base.schema[n].dataType != types[n] and v.rows:
-                        base = base.withColumn(n, col(n).cast(types[n]))
-                df = base.unionByName(df) if v.rows else base
-            v.cache["frame"] = Frame(df, ((ORD, True),), fields, {k: readable(t) for k, t in v.json_types.items()}, v.schemaless)
+                    if n not in df.columns:
+                        df = df.withColumn(n, F.lit(None).cast(types[n]))
+                    elif v.rows or v.schemaless:
+                        df = retyped(df, n, v.base_fields.get(n), t, types[n] if v.rows else df.schema[n].dataType)
+                if v.rows:
+                    df = df.unionByName(self.spark.createDataFrame(data, schema))
+            v.cache["frame"] = Frame(df, tuple((p.name, True) for p in places), fields, {k: readable(t) for k, t in v.json_types.items()}, v.schemaless)
         return v.cache["frame"]
 
+    def _shown(self, v: Version) -> DataFrame:
+        """The base without the rows that are replaced or deleted: a short list of their keys is a filter, a longer one (of ``FLUSH`` at most) a join."""
+        if not v.hidden:
+            return v.base
+        key = v.identity[0]
+        kind = v.base.schema[key].dataType
+        if len(v.hidden) <= 32:
+            return v.base.where(~col(key).isin(*v.hidden) | col(key).isNull())
+        gone = self.spark.createDataFrame([(k,) for k in v.hidden], T.StructType([T.StructField(key, kind)]))
+        return v.base.join(F.broadcast(gone), key, "left_anti").select(*[col(c) for c in v.base.columns])
+
+    def _hide(self, v: Version, keys: list) -> tuple:
+        return tuple(dict.fromkeys((*v.hidden, *keys))) if v.base is not None else ()
+
     def _links(self, v: Version) -> tuple[DataFrame, dict[str, QLType | None]]:
         names = list(dict.fromkeys(n for fields in v.link_fields.values() for n in fields))
         ident = spark_type(v.loose["id"] or QLType("int")) if v.loose.get("id") is None or v.loose["id"].kind != "json" else T.StringType()
@@ -327,8 +384,10 @@ class Engine:
             for link in v.links:
                 t = loose_merge(t, loose_type(link["data"].get(n)))
             types[n] = t
+        old: dict[str, QLType | None] = {}
         if v.link_base is not None:
-            types |= {n: of_spark(v.link_base.schema[n].dataType) for n in names if n in v.link_base.columns}
+            old = {n: v.link_types.get(n) or of_spark(v.link_base.schema[n].dataType) for n in names if n in v.link_base.columns}
+            types |= {n: loose_merge(t, types.get(n)) for n, t in old.items()}
         schema = T.StructType(
             [T.StructField("id", T.LongType()), T.StructField("label", T.StringType()), T.StructField("source", ident), T.StructField("target", ident), T.StructField("bidir", T.BooleanType())]
             + [T.StructField(n, spark_type(t) if t is not None else T.StringType()) for n, t in types.items()]
@@ -339,7 +398,11 @@ class Engine:
         ]
         df = self.spark.createDataFrame(rows, schema)
         if v.link_base is not None:
-            df = v.link_base if not rows else v.link_base.unionByName(df, allowMissingColumns=True)
+            base = v.link_base
+            for n, t in old.items():
+                if rows and types[n] is not None:
+                    base = retyped(base, n, t, types[n], spark_type(types[n]))
+            df = base if not rows else base.unionByName(df, allowMissingColumns=True)
         return df, types
 
     # -- queries as mappings ----------------------------------------------------------------------------------------------------------------
@@ -407,10 +470,10 @@ class Engine:
         return [tuple(r[k] for k in v.identity) for r in made]
 
     def _flushed(self, v: Version) -> Version:
-        if len(v.rows) < FLUSH:
+        if len(v.rows) < FLUSH and len(v.hidden) < FLUSH:
             return v
         f = self._frame(v, self.current)
-        return replace(v, base=stored(f.df), base_fields=v.fields, rows=(), cache={})
+        return replace(v, base=stored(f.df), base_fields=v.fields, rows=(), hidden=(), cache={})
 
     def _insert_nodes(self, v: Version, records: list) -> list:
         loose, types, rows = dict(v.loose), dict(v.json_types), dict((r["id"] if _hashable(r["id"]) else encode(r["id"]), (i, r)) for i, r in v.rows)
@@ -430,10 +493,8 @@ class Engine:
                 rows[key] = (at, r)
                 at += 1
             replaced.append(r["id"])
-        base = v.base
-        if base is not None and replaced:
-            base = base.where(~col("id").isin(*replaced) | col("id").isNull())
-        self._put(self._flushed(replace(v, base=base, rows=tuple(rows.values()), next=at, loose=loose, json_types=types, cache={})))
+        hidden = self._hide(v, [x if _hashable(x) else encode(x) for x in replaced])
+        self._put(self._flushed(replace(v, hidden=hidden, rows=tuple(rows.values()), next=at, loose=loose, json_types=types, cache={})))
         return replaced
 
     def _insert_pairs(self, v: Version, records: list) -> list:
@@ -454,10 +515,8 @@ class Engine:
                     types[n] = merge_json(types.get(n), json_type(x))
             rows[r["key"]] = (rows[r["key"]][0] if r["key"] in rows else at, r)
             at += 1
-        base = v.base
-        if base is not None:
-            base = base.where(~col("key").isin(*[r["key"] for r in records]))
-        self._put(self._flushed(replace(v, base=base, rows=tuple(rows.values()), next=at, loose=loose, json_types=types, cache={})))
+        hidden = self._hide(v, [r["key"] for r in records])
+        self._put(self._flushed(replace(v, hidden=hidden, rows=tuple(rows.values()), next=at, loose=loose, json_types=types, cache={})))
         return [r["key"] for r in records]
 
     def _plain(self, x: Any) -> Any:
@@ -493,6 +552,9 @@ class Engine:
         def change() -> dict:
             v = self.version(name)
             moved = None if v.schemaless else self._suited(v, selection)
+            if v.schemaless and (merged := self._merged(v, selection)) is not None:
+                self._put(merged[0])
+                return {"status": "success", "inserted": merged[1]}
             if moved is None:
                 return self.insert(name, selection.consume())
             new, types = moved
@@ -501,11 +563,43 @@ class Engine:
             if n:
                 self._check_moved(v, new)
                 own = self._frame(v, self.current).df
-                self._put(replace(v, base=stored(own.unionByName(new.select(*own.columns))), base_fields=v.fields, rows=(), next=v.next + (n << 33), json_types=types, cache={}))
+                last = new.agg(F.max(ORD)).first()[0]
+                new = new.withColumn(FILE, F.lit(LAST)) if FILE in own.columns else new
+                self._put(replace(v, base=stored(own.unionByName(new.select(*own.columns))), base_fields=v.fields, rows=(), next=last + 1, json_types=types, cache={}))
             return {"status": "success", "inserted": n}
 
         return self._located(change)
 
+    def _merged(self, v: Version, selection: Selection) -> tuple[Version, int] | None:
+        """A graph or key/value dataset with the selection's records as nodes or pairs, by joins, and their number. None for at most ``FLUSH`` records, and where values
+        have to be brought to a common type one by one."""
+        f, key = selection.frame(True), v.identity[0]
+        simple = {n: QLType("text") if t is not None and t.bare.kind in ("char", "str") else t.bare if t is not None else None for n, t in f.fields.items()}
+        empty = v.base is None and not v.rows
+        if f.schemaless or key not in simple or v.kind == "kv" and set(simple) != {"key", "value"} or any(t is None or t.kind not in ("int", "float", "bool", "text", "date", "datetime") for t in simple.values()):
+            return None
+        if not empty and any(n in v.loose and v.loose[n] != t for n, t in simple.items()):
+            return None
+        names = [n for n in simple if n != key]
+        new = stored(f.sorted().select(*[col(n).cast(spark_type(t)).alias(n) for n, t in simple.items()], (F.monotonically_increasing_id() + v.next).alias(ORD)))
+        n = new.count()
+        if n <= FLUSH:
+            return None
+        if new.where(col(key).isNull()).limit(1).count():
+            raise ConstraintError(f"a record needs a {key}", code="required" if v.kind == "graph" else "invalid_key", field=key)
+        after = new.agg(F.max(ORD)).first()[0] + 1
+        # Of records with one key the last stays, at the place of the first; one that the dataset has already keeps its place there.
+        last = new.groupBy(col(key)).agg(F.min(ORD).alias(ORD), F.max_by(F.struct(F.lit(0).alias("__"), *map(col, names)), ORD).alias("__r"))
+        one = last.select(col(key), ORD, *[F.col("__r")[n].alias(n) for n in names], F.array(*[F.lit(n) for n in simple]).alias(HAS))
+        if not empty:
+            own = self._frame(v, self.current).df
+            places = [c for c in (FILE, ORD) if c in own.columns]
+            placed = one.withColumn(FILE, F.lit(LAST)) if FILE in places else one
+            placed = placed.join(own.select(col(key), *[col(c).alias(f"{c}0") for c in places]), key, "left").withColumns({c: F.when(F.col(f"{ORD}0").isNotNull(), F.col(f"{c}0")).otherwise(F.col(c)) for c in places}).drop(*[f"{c}0" for c in places])
+            one = own.join(one.select(col(key)), key, "left_anti").unionByName(placed, allowMissingColumns=True)
+        loose = {**({} if empty else v.loose), **simple}
+        return replace(v, base=stored(one), base_fields=loose, loose=loose, rows=(), hidden=(), next=after, cache={}), n
+
     def _suited(self, v: Version, selection: Selection) -> tuple[DataFrame, dict] | None:
         """The rows as columns of v's schema, in order, or None where single values must be converted."""
         f = selection.frame(True)
@@ -525,6 +619,12 @@ class Engine:
                 out.append((F.lit(None) if s.default is MISSING else F.lit(to_spark(s.default, s.cast_type))).cast(spark_kind).alias(n))
                 continue
             have = f.fields[n].bare if f.fields[n] is not None else None
+            if want.kind == "reference" and have is not None and have.kind != "reference" and not f.schemaless:
+                ident = ids[want.args[0]]
+                if len(ident) != 1 or not isinstance(f.df.schema[n].dataType, type(ident[0].dataType)):
+                    return None
+                out.append(F.when(col(n).isNotNull(), F.struct(col(n).cast(ident[0].dataType).alias(ident[0].name))).cast(spark_kind).alias(n))  # a key stands for its record
+                continue
             alike = have is not None and (have == want or {have.kind, want.kind} <= {"char", "str", "text"} or (have.kind, want.kind) == ("int", "float"))
             if not alike or f.schemaless or references_in(want) and f.df.schema[n].dataType != spark_kind:
                 return None
@@ -556,12 +656,46 @@ class Engine:
             for i, (n, code, _) in enumerate(tests):
                 if found[i]:
                     raise ConstraintError(f"{n}: {found[i]} values don't fit {v.schema.fields[n].type}", code=code, field=n)
+        for n, s in v.schema.fields.items():
+            for target in references_in(s.type):
+                t = self.version(target)
+                ident = self._frame(t, self.current).df.select(*[col(k).alias(f"__i{i}") for i, k in enumerate(t.identity)])
+                for refs in reference_columns(new, n, s.type, target):
+                    if refs.where("__ref is not null").join(ident, [F.col("__ref")[k] == F.col(f"__i{i}") for i, k in enumerate(t.identity)], "left_anti").limit(1).count():
+                        raise ReferenceError_(f"{n} leads to no record of {target}", code="missing_reference", dataset=target)
         own = self._frame(v, self.current).df
         for names, code in ([(v.schema.key, "primary_key")] if v.schema.key else []) + [((u,), "unique") for u in v.schema.uniques]:
             keys = new.dropna(subset=list(names)).select(*names)
             if keys.groupBy(*names).count().where("count > 1").limit(1).count() or keys.join(own.select(*names), list(names), "left_semi").limit(1).count():
                 raise ConstraintError(f"{', '.join(names)} must be unique", code=code, fields=list(names))
 
+    def violations(self, name: str, selection: Selection) -> DataFrame:
+        """What an insert of the selection would be refused for: (code, fields, row), a row per record that repeats a key or a unique value of another one or of the
+        dataset, or that refers to no record. Reads the selection as a whole; changes nothing."""
+        v = self.version(name)
+        moved = None if v.schemaless else self._suited(v, selection)
+        if moved is None:
+            raise UnsupportedError(f"the fields don't suit {name}", dataset=name)
+        new, own = moved[0], self._frame(v, self.current).df
+        shown = F.struct(*[col(n) for n in v.schema.fields])
+        found = [new.where("false").select(F.lit("").alias("code"), F.array().cast("array<string>").alias("fields"), shown.alias("row"))]
+        tell = lambda df, code, names: found.append(df.select(F.lit(code).alias("code"), F.array(*map(F.lit, names)).alias("fields"), shown.alias("row")))
+        for names, code in ([(v.schema.key, "primary_key")] if v.schema.key else []) + [((u,), "unique") for u in v.schema.uniques]:
+            keys = new.select(*map(col, names)).dropna()
+            twice = keys.groupBy(*names).count().where("count > 1").select(*names)
+            tell(new.join(twice.unionByName(own.select(*map(col, names)).dropna().distinct()).distinct(), list(names), "left_semi"), code, names)
+        for n, s in v.schema.fields.items():
+            if s.type.bare.kind == "reference":
+                t = self.version(s.type.bare.args[0])
+                ident = self._frame(t, self.current).df.select(*[col(k).alias(f"__i{i}") for i, k in enumerate(t.identity)])
+                tell(new.where(col(n).isNotNull()).join(ident, [col(n)[k] == F.col(f"__i{i}") for i, k in enumerate(t.identity)], "left_anti"), "missing_reference", (n,))
+        return reduce(DataFrame.unionByName, found)
+
+    def vacuum(self) -> None:
+        """Remove the stored versions that the newest commit doesn't need, and what torn commits left. No one may read older versions, or commit, meanwhile."""
+        if self.storage is not None:
+            self.storage.vacuum()
+
     def update(self, name: str, values: Mapping, predicate: Mapping | None = None) -> dict:
         def change() -> dict:
             v = self.version(name)
@@ -788,9 +922,8 @@ class KeyValue:
         def change() -> bool:
             v = self.engine.version(self.name)
             rows = tuple(x for x in v.rows if x[1]["key"] != key)
-            base = v.base.where(~col("key").eqNullSafe(F.lit(key))) if v.base is not None else None
-            there = len(rows) != len(v.rows) or v.base is not None and v.base.where(col("key") == key).limit(1).count() > 0
-            self.engine._put(replace(v, rows=rows, base=base, cache={}))
+            there = len(rows) != len(v.rows) or v.base is not None and key not in v.hidden and v.base.where(col("key") == key).limit(1).count() > 0
+            self.engine._put(self.engine._flushed(replace(v, rows=rows, hidden=self.engine._hide(v, [key]), cache={})))
             return there
 
         return self.engine._mutate(change)

