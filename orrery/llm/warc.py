@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, join_small, small_batches, spill
+from .common import arrow_batches, fresh_path, join_small, spill
 
 MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -103,7 +103,6 @@ def write_archives(classified: DataFrame, path: str, sample_rows: int = 1000, sa
     so a lost or repeated task leaves no record twice.
     """
     spark = classified.sparkSession
-    small_batches(spark)
     # A hash below a bound picks the sample, so the driver gets about as many rows from any number of partitions.
     share = sample_rows / max(1, total if total is not None else classified.count())
     some = classified if share >= 1 else classified.where(F.pmod(F.xxhash64("digest", "page_id"), F.lit(1_000_000_007)) < int(share * 1_000_000_007))
@@ -140,7 +139,8 @@ def write_archives(classified: DataFrame, path: str, sample_rows: int = 1000, sa
 
     fs, root = _filesystem(path)
     fs.create_dir(root, recursive=True)
-    classified.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
+    with arrow_batches(spark):
+        classified.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
