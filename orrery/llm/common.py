@@ -46,12 +46,6 @@ def arrow_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> Iterat
                 spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
-    """Bound what an Arrow batch of texts may hold, in rows and in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
-
-
 def word_array(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
@@ -73,6 +67,18 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, mb: in
     return big.join(F.broadcast(small) if small.count() * width <= mb << 20 else small, on, how)
 
 
+def give_back() -> None:
+    """Return unused memory of this process to the system."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run):
     """A function over Arrow batches that gives its memory back at the end: Python workers stay for later stages, and would keep it."""
 
@@ -80,15 +86,9 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            import ctypes
             import gc
 
-            import pyarrow
-
             gc.collect()
-            pyarrow.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return wrapped

@@ -3,11 +3,11 @@
 Documents are tokenised and routed to context-size tiers (powers of two up to the window). A document longer than the window first
 fills whole windows; what is left goes to the smallest tier that holds it. Each tier is packed by itself, its windows filled best-fit by
 decreasing length; the gaps that stay in the longer tiers' windows are then filled from shorter tiers' documents, cutting one freely to
-close a gap to the last token. What is left over at the end becomes windows of the smaller tiers, so almost nothing is padded. Sequences are then
-dealt to step groups of about equal token counts, so that every step costs the same.
+close a gap to the last token. What is left over at the end becomes windows of the smaller tiers, so almost nothing is padded. Each round's sequences are then
+dealt to as many step groups as ``step_tokens`` asks for, the largest first and always to the lightest group, so that every step costs the same.
 
-Packing is local to a task and needs no exchange: a task packs ``batch`` documents at a time and carries unfilled documents over to
-the next batch; ids are made from the partition's number, so a repeated task gives the same result.
+Packing is local to a task and needs no exchange: a task packs rounds of ``batch`` documents, however they come in, and carries unfilled documents over to
+the next round; ids are made from the partition's number. So the result depends on the partitions' rows alone, and a repeated task gives the same one.
 
 Tokenising is cached by run of non-space characters: the tokenizer's normaliser and pre-tokeniser never look across ASCII white space, so
 ids of a text are the ids of its runs joined. Texts that hold a special token's string or the file separators that are
@@ -19,6 +19,8 @@ carried through; an empty table gives an empty result; other columns aren't read
 
 from __future__ import annotations
 
+import heapq
+import os
 import re
 import sys
 import zlib
@@ -33,12 +35,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import give_back, tidy
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
 END = 1
-CACHE = 250_000
+CACHE = 150_000  # runs; two generations of them are kept, some 60 MB
+SLICE = 1 << 22  # characters tokenised at a time
+ENCODE = 2000  # runs given to the tokenizer at a time
 #: Marks that are no letters, digits or apostrophes, for a regular expression's class.
 MARKS = r".,;:!?#*$%&|<>(){}=+_~@/\-"
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -52,11 +56,11 @@ class CachedTokenizer:
     go to the model at once."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model_only = Tokenizer.from_file(path)
-        self.model_only.normalizer = self.model_only.pre_tokenizer = None
+        self.model_only = Tokenizer(self.tokenizer.model)  # one vocabulary in memory
         self.runs: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         visible = {*range(33, 127), *range(161, 173), *range(174, 256)}  # byte-level alphabets name the other bytes 256, 257, ...
@@ -64,26 +68,31 @@ class CachedTokenizer:
 
     @classmethod
     def of_process(cls, path: str) -> CachedTokenizer:
-        """Spark reuses Python workers: one tokenizer, with what it has learned, serves all tasks of a process."""
+        """Spark reuses Python workers: one tokenizer serves all tasks of a process."""
         here = sys.modules.setdefault("_orrery_tokenizers", ModuleType("_orrery_tokenizers")).__dict__
         if path not in here:
             here[path] = cls(path)
         return here[path]
 
+    def forget(self) -> None:
+        self.runs, self.old = {}, {}
+
     def _ids(self, tokenizer, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _new(self, runs: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(runs)
         letters, others = [], []
+        every = " ".join(runs)
+        usual = is_normalized("NFC", every) and not _SPECIAL_CASE.search(every)  # nearly always: then no run needs a look of its own
         for i, run in enumerate(runs):
-            plain = run.isalpha() and (run.isascii() or (is_normalized("NFC", run) and not _SPECIAL_CASE.search(run)))
+            plain = run.isalpha() and (usual or run.isascii() or (is_normalized("NFC", run) and not _SPECIAL_CASE.search(run)))
             (letters if plain else others).append(i)
         given = [runs[i].lower() for i in letters]
         given = [g if g.isascii() else g.encode().decode("latin-1").translate(self.alphabet) for g in given]
         for tokenizer, places, names in ((self.model_only, letters, given), (self.tokenizer, others, [runs[i] for i in others])):
-            for k in range(0, len(places), 20_000):
-                for i, b in zip(places[k : k + 20_000], self._ids(tokenizer, names[k : k + 20_000])):
+            for k in range(0, len(places), ENCODE):
+                for i, b in zip(places[k : k + ENCODE], self._ids(tokenizer, names[k : k + ENCODE])):
                     out[i] = b
         return out
 
@@ -109,16 +118,21 @@ class CachedTokenizer:
         odd = {i for i, t in enumerate(texts) if _ODD.search(t)}
         usual = pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string())
         parted = pc.replace_substring_regex(pc.ascii_lower(usual), r"([\p{L}\p{N}])([" + MARKS + "])", r"\1 \2")
+        del usual
         words = pc.ascii_split_whitespace(parted)
-        coded = words.flatten().dictionary_encode()
+        del parted
+        coded, offsets = words.flatten().dictionary_encode(), words.offsets.to_numpy()
+        del words
         ids = self._known(coded.dictionary.to_pylist())
         place = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        table, begin = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(lengths)])
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        table, begin = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         n = lengths[place]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        flat = table[np.repeat(begin[place] - ends[:-1], n) + np.arange(ends[-1])]
-        bounds = ends[words.offsets.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        at = np.repeat(begin[place] - ends[:-1], n)
+        at += np.arange(ends[-1], dtype=np.int32)
+        flat = table[at]
+        bounds = ends[offsets]
         out = [flat[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
         for i in odd:
             out[i] = np.frombuffer(self._ids(self.tokenizer, [texts[i]])[0], "<u4")
@@ -219,9 +233,30 @@ class Packer:
             yield cap, pieces
 
 
+def deal(sizes: list[int], step_tokens: int) -> tuple[list[int], int]:
+    """The step group of each sequence, and how many groups there are: the largest sequence first, to the lightest group."""
+    groups = [(0, g) for g in range(max(1, -(-sum(sizes) // step_tokens)))]
+    out = [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        load, out[i] = groups[0]
+        heapq.heapreplace(groups, (load + sizes[i], out[i]))
+    return out, len(groups)
+
+
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """At most about SLICE characters of texts at a time."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size < SLICE):
+            size += len(texts[j])
+            j += 1
+        yield texts[i:j]
+        i = j
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, batch: int = 2000, step_tokens: int = 16 * WINDOW) -> DataFrame:
-    """A row per piece. step_group: sequences of a task dealt to groups of about ``step_tokens`` tokens each."""
-    small_batches(docs.sparkSession, batch)
+    """A row per piece. step_group: a round's sequences in groups of equal tokens, ``step_tokens`` at most but for less than a sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -229,39 +264,45 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
         part = TaskContext.get().partitionId() << 33
         coder, packer = CachedTokenizer.of_process(tokenizer_path), Packer(tiers)
         kept: dict[int, tuple[int | None, np.ndarray]] = {}
-        n_docs = n_seq = step = step_fill = 0
+        new: list[tuple[int, int]] = []
+        n_docs = n_seq = step = 0
 
-        def rows(sequences) -> pa.RecordBatch | None:
-            nonlocal n_seq, step, step_fill
+        def rows(sequences: list) -> Iterator[pa.RecordBatch]:
+            nonlocal n_seq, step
             cols: list[list] = [[] for _ in range(9)]
-            for tier, pieces in sequences:
-                if step_fill + tier > step_tokens and step_fill:
-                    step, step_fill = step + 1, 0
-                step_fill += tier
+            groups, used = deal([sum(p[2] for p in pieces) for _, pieces in sequences], step_tokens)
+            for group, (tier, pieces) in zip(groups, sequences):
                 offset = 0
                 for doc, start, length in pieces:
                     name, ids = kept[doc]
-                    for c, v in zip(cols, (name, start, length, zlib.crc32(ids[start : start + length]), len(ids), part | n_seq, offset, tier, part | step)):
+                    for c, v in zip(cols, (name, start, length, zlib.crc32(ids[start : start + length]), len(ids), part | n_seq, offset, tier, part | step + group)):
                         c.append(v)
                     offset += length
                 n_seq += 1
-            if not cols[0]:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 7 else pa.int64()) for i, c in enumerate(cols)], [x.split()[0] for x in OUT.split(", ")])
+            step += used
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 7 else pa.int64()) for i, c in enumerate(cols)], [x.split()[0] for x in OUT.split(", ")])
 
-        end = np.array([END], "<u4")
-        for b in batches:
-            new = []
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for name, ids in zip(b.column("doc_id").to_pylist(), coder.encode(texts)):
-                kept[n_docs] = (name, np.concatenate([ids, end]))
-                new.append((n_docs, len(ids) + 1))
-                n_docs += 1
-            if (out := rows(packer.pack(new))) is not None:
-                yield out
+        def finished(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal new, kept
+            yield from rows(list(packer.pack(new, last)))
             need = {doc for _, doc, _ in packer.rest}
-            kept = {k: v for k, v in kept.items() if k in need}
-        if (out := rows(packer.pack([], last=True))) is not None:
-            yield out
+            new, kept = [], {k: v for k, v in kept.items() if k in need}
+            give_back()
+
+        end = np.array([END], "<u4")
+        try:
+            for b in batches:
+                names, at = b.column("doc_id").to_pylist(), 0
+                for texts in _slices([t or "" for t in b.column("text").to_pylist()]):
+                    for ids in coder.encode(texts):
+                        kept[n_docs] = (names[at], np.concatenate([ids, end]))
+                        new.append((n_docs, len(ids) + 1))
+                        n_docs, at = n_docs + 1, at + 1
+                        if len(new) == batch:
+                            yield from finished(False)
+            yield from finished(True)
+        finally:
+            coder.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, OUT)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), OUT)
