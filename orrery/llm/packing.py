@@ -35,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import give_back, tidy
+from .common import arrow_batches, give_back, spill, tidy
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -305,4 +305,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
         finally:
             coder.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), OUT)
+    with arrow_batches(docs.sparkSession, batch, 8):  # stored, as batches have to be bounded while it runs: pieces are a small part of the texts
+        return spill(docs.select("doc_id", "text").mapInArrow(tidy(run), OUT), "packed")
