@@ -1,8 +1,8 @@
 """Quality classifier: random Fourier features, ridge regression by summed normal equations, isotonic calibration.
 
 Statistics of a whole text (never its labels, language, source or id) are computed by DataFrame functions and stored once. Cosines of ``features``
-random projections approximate a Gaussian kernel over the standardised statistics. Each of a bounded number of partitions of the training
-rows sums its part of the normal equations; the sums, whose size depends on ``features`` alone, are added by Spark and solved on the driver. One quarter of the
+random projections approximate a Gaussian kernel over the standardised statistics. Each partition of the training
+rows sums its part of the normal equations; the sums, whose size depends on ``features`` alone, are added in two levels and solved on the driver. One quarter of the
 training rows is left out of the fit and calibrates the scores: counts per score step (at most ``STEPS``) are pooled to a rising step function.
 
 Defined cases: null and blank texts get the statistics of an empty text and are scored like any other; labels that are null or whose document
@@ -80,7 +80,7 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def normal_equations(rows: DataFrame, model: Model, partitions: int = 16) -> tuple[np.ndarray, np.ndarray, int]:
-    """Z'Z, Z'y and the number of rows: one partial sum a partition, added by Spark cell by cell."""
+    """Z'Z, Z'y and the number of rows, added in two levels: a partial sum in each task that has rows, ``partitions`` sums of these, and their sum on the driver."""
     d = model.omega.shape[1] + 1
     upper = np.triu_indices(d)
 
@@ -91,12 +91,17 @@ def normal_equations(rows: DataFrame, model: Model, partitions: int = 16) -> tup
                 z, y = model.features(_matrix(b)), b.column("label").to_numpy(zero_copy_only=False).astype(float)
                 gram, moment, n = gram + z.T @ z, moment + z.T @ y, n + len(b)
         if n:
-            cells = np.concatenate([gram[upper], moment, [n]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells), dtype=np.int32)), pa.array(cells)], ["cell", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([gram[upper], moment, [n]]).tobytes()], pa.binary())], ["cells"])
 
-    sums = rows.select("stats", "label").coalesce(partitions).mapInArrow(partial, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
-    cells = np.zeros(len(upper[0]) + d + 1)
-    cells[sums["cell"].to_numpy()] = sums["v"].to_numpy()
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(len(upper[0]) + d + 1)
+        for b in batches:
+            for raw in b.column("cells").to_pylist():
+                cells += np.frombuffer(raw)
+        yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()], pa.binary())], ["cells"])
+
+    sums = rows.select("stats", "label").mapInArrow(partial, "cells binary").repartition(partitions).mapInArrow(added, "cells binary").collect()
+    cells = np.sum([np.frombuffer(r["cells"]) for r in sums] or [np.zeros(len(upper[0]) + d + 1)], axis=0)
     gram = np.zeros((d, d))
     gram[upper] = cells[: len(upper[0])]
     return gram + np.triu(gram, 1).T, cells[-d - 1 : -1], int(round(cells[-1]))
