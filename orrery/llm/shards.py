@@ -1,14 +1,15 @@
 """Sharding: histogram sort by bytes.
 
 Documents are ordered by a 64-bit key whose high 40 bits hash the text and whose low 24 bits hash the doc_id: equal texts are
-neighbours, yet a text that fills a third of the corpus can still be cut. Splitters that cut the corpus into ``shards * ranges``
+neighbours, yet a text that fills a third of the corpus can still be cut. A group of equal texts that a shard's edge would cut stays whole if that moves the edge by
+less than ``slack`` of a shard's bytes; so groups smaller than that are in one shard, and only larger ones are cut. Splitters that cut the corpus into ``shards * ranges``
 stretches of equal bytes are found by histogramming: in each round every partition counts the exact bytes and rows below a set of
 probes, the sums give exact brackets, and the brackets are refined until the byte count below each splitter is within ``tolerance`` of
 its goal (or no key lies between). Then the rows are exchanged once, by stretch, and each gets its slot from a local row number plus the
 rows of the stretches before it: no task ever sorts a whole shard.
 
 Defined cases: a null text has size 16 (as an empty one), null doc_ids are hashed as such; repeated rows get slots of their own; rows that
-tie in the key stay in one stretch and are ordered by doc_id. An empty table gives an empty result. Input columns named like the result's
+tie in the key (equal text and doc_id) stay in one stretch and are ordered by doc_id: the law may be off by their bytes. An empty table gives an empty result. Input columns named like the result's
 are replaced; others are carried along.
 """
 
@@ -58,12 +59,13 @@ def histogram(keys: DataFrame, probes: list[int]) -> dict[int, tuple[int, int]]:
     return {int(p): (int(size[i]), int(n[i])) for i, p in enumerate(at)}
 
 
-def splitters(keys: DataFrame, parts: int, tolerance: float = 0.002, probes_each: int = 15, per_shard: int = 1) -> list[tuple[int, int, int]]:
-    """(key, bytes at or below, rows at or below) of the ``parts - 1`` cuts and of the whole (the largest key comes last)."""
+def splitters(keys: DataFrame, parts: int, tolerance: float = 0.002, probes_each: int = 15, per_shard: int = 1, slack: float = 0.01) -> list[tuple[int, int, int]]:
+    """(key, bytes at or below, rows at or below) of the ``parts - 1`` cuts and of the whole (the largest key comes last). Every ``per_shard``-th cut moves to an edge of
+    its group of equal texts if that is less than ``slack`` of a shard's bytes away from its goal."""
     low, high = -(1 << 63), (1 << 63) - 1
     total = histogram(keys, [high])[high]
     goals = [total[0] * (i + 1) // parts for i in range(parts - 1)]
-    slack = max(1, int(tolerance * total[0] / parts * per_shard))
+    near_enough = max(1, int(tolerance * total[0] / parts * per_shard))
     known = {low: (0, 0), high: total}
     while True:
         order = sorted(known)
@@ -73,7 +75,7 @@ def splitters(keys: DataFrame, parts: int, tolerance: float = 0.002, probes_each
             j = int(np.searchsorted(below, g, side="left"))
             a, b = order[max(j - 1, 0)], order[j]
             near = min(abs(known[a][0] - g), abs(known[b][0] - g))
-            if near <= slack or b - a <= 1 or known[b][1] - known[a][1] <= 1:
+            if near <= near_enough or b - a <= 1 or known[b][1] - known[a][1] <= 1:
                 continue
             step = probes_each + 1
             probes |= {a + (b - a) * i // step for i in range(1, step)} - {a, b}
@@ -87,6 +89,17 @@ def splitters(keys: DataFrame, parts: int, tolerance: float = 0.002, probes_each
         j = int(np.searchsorted(below, g, side="left"))
         best = min((order[max(j - 1, 0)], order[j]), key=lambda k: abs(known[k][0] - g))
         cuts.append((best, *known[best]))
+    edges = [i for i in range(parts - 1) if i % per_shard == per_shard - 1]
+    mask = (1 << LOW_BITS) - 1
+    around = {i: [max((cuts[i][0] & ~mask) - 1, low), cuts[i][0] | mask] for i in edges}
+    known |= histogram(keys, sorted({k for pair in around.values() for k in pair} - {low})) if edges else {}
+    for i in edges:
+        best = min(around[i], key=lambda k: abs(known[k][0] - goals[i]))
+        if abs(known[best][0] - goals[i]) < slack * total[0] / parts * per_shard:
+            cuts[i] = (best, *known[best])
+    # A moved edge may pass cuts inside its shards.
+    for i in range(1, len(cuts)):
+        cuts[i] = max(cuts[i], cuts[i - 1])
     return [*cuts, (high, *total)]
 
 
