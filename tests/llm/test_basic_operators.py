@@ -106,7 +106,16 @@ def test_shards(spark, source):
     for r in got:
         by[r["shard"]].append(r)
     assert all(0 <= k < 40 and sorted(r["slot"] for r in v) == list(range(len(v))) for k, v in by.items())
+    at = collections.defaultdict(set)
+    for r in got:
+        at[r["text_crc32"]].add(r["shard"])
+    total = sum(r["size"] for r in got)
+    weight = collections.Counter()
+    for r in got:
+        weight[r["text_crc32"]] += r["size"]
+    assert source == "edge" or all(len(at[c]) == 1 for c, n in weight.items() if n < 0.01 * total / 40)
     if source == "hot":
+        assert len(at[zlib.crc32(b"the same text")]) > 5
         total, largest = sum(r["size"] for r in got), max(r["size"] for r in got)
         assert max(sum(r["size"] for r in v) for v in by.values()) <= total / 40 + 2 * largest
     assert shards.shard_documents(edge.empty(spark)).count() == 0
@@ -180,6 +189,82 @@ def test_quality_classifier_edges(spark):
     assert rff.score_documents(edge.empty(spark), labels).count() == 0
 
 
+def test_quality_classifier_against_numpy(spark):
+    """Features, normal equations, pools and scores once more, on the driver."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    stats = rff.statistics(docs).select("row.doc_id", "stats")
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    x_of = {r["doc_id"]: np.array(r["stats"]) for r in stats.collect()}
+    for i in list(text)[::97]:  # some figures of the texts themselves
+        words, lines = WORD.findall(text[i]), [x for x in text[i].split("\n") if WORD.search(x)]
+        want = [math.log1p(len(words)), math.log1p(len(lines)), len(text[i]) / max(1, len(words)), len(set(words)) / max(1, len(words)), len(set(lines)) / max(1, len(lines)), math.log1p(len(words) / max(1, len(lines)))]
+        want += [sum(len(w) <= 3 for w in words) / max(1, len(words)), sum(len(w) == 1 for w in words) / max(1, len(words)), math.sqrt(len(re.findall(r"[#*$%&<>{}\[\]=\\^~_]", text[i])) / max(1, len(text[i])))]
+        assert np.allclose(x_of[i][:9], want), i
+    crc = lambda i: zlib.crc32(str(i).encode())
+    known = [(r["doc_id"], r["quality"]) for r in labels.collect() if crc(r["doc_id"]) % 3 != 1 and r["doc_id"] in x_of]
+    x, y, side = np.array([x_of[i] for i, _ in known]), np.array([q for _, q in known], float), np.array([crc(i) // 3 % 4 == 0 for i, _ in known])
+    model = rff.fit(stats, rff.learnable(labels))
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0))
+    f = lambda x: np.hstack([np.sqrt(2 / 200) * np.cos(np.clip((x - x_mean) / x_std, -6, 6) @ model.omega + model.phase), np.ones((len(x), 1))])
+    x_mean, x_std = x.mean(axis=0), x.std(axis=0)
+    z = f(x[~side])
+    beta = np.linalg.solve(z.T @ z + np.diag([1e-3 * len(z)] * 200 + [1e-9]), z.T @ y[~side])
+    assert np.allclose(beta, model.beta, atol=1e-6)
+    kernel = np.exp(-0.04 * (((x[:40, None] - x[None, :40]) / x_std) ** 2).sum(axis=2))
+    assert np.abs(f(x[:40])[:, :-1] @ f(x[:40])[:, :-1].T - kernel).mean() < 0.08  # what the features approximate
+    raw = np.clip(f(x[side]) @ beta, -1, 2)
+    step = np.round((raw + 1) / 3 * 1000)
+    at = np.array(sorted(set(step)))
+    n, ones = (np.array([v[step == s].sum() for s in at]) for v in (np.ones(len(raw)), y[side]))
+    level = np.array([max(min(ones[a : b + 1].sum() / n[a : b + 1].sum() for b in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))])  # isotonic regression by its max-min formula
+    pools = np.interp(at / 1000 * 3 - 1, model.steps, model.levels)
+    assert np.abs(pools - level).max() < 0.51 and np.all(np.diff(model.levels) >= 0) and np.isclose((level * n).sum(), ones.sum())
+    got = {r["doc_id"]: r["score"] for r in rff.score_documents(docs, labels).collect()}
+    every = f(np.array([x_of[i] for i in got])) @ beta
+    clipped = np.clip(every, -1, 2)
+    assert np.allclose(list(got.values()), np.clip(0.999 * np.interp(clipped, model.steps, model.levels) + 0.001 * (clipped + 1) / 3, 0, 1), atol=1e-5)
+
+
+def test_isotonic_is_the_max_min_formula():
+    rng = np.random.default_rng(4)
+    w, y = rng.integers(1, 9, 60).astype(float), rng.uniform(0, 1, 60)
+    at, levels = rff.isotonic(np.arange(60.0), w, w * y)
+    want = [max(min((w * y)[a : b + 1].sum() / w[a : b + 1].sum() for b in range(i, 60)) for a in range(i + 1)) for i in range(60)]
+    assert np.allclose(sorted(set(np.round(want, 9))), levels) and np.all(np.diff(at) > 0)
+
+
+def test_archives_of_odd_pages(spark, tmp_path):
+    """Very long payloads and columns named like the reader's."""
+    rows = [(1, "u", "x" * 3_000_000, "d1", 5, "t"), (2, "u", "x" * 3_000_000, "d2", 6, "t"), (3, "v\r\nWARC-Type: x", "\r\n\r\nbody", "d3", 7, "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, refers_to long, record_type string")
+    path = f"file://{tmp_path}/w"
+    got = {r["page_id"]: r for r in warc.read_archives(warc.write_archives(warc.classify(pages), path, max_bytes=100), path).collect()}
+    assert [(got[i]["payload_bytes"], got[i]["record_type"], got[i]["refers_to"]) for i in (1, 2, 3)] == [(3_000_000, "revisit", 2), (3_000_000, "response", None), (8, "response", None)]
+
+
+def test_step_groups_are_balanced(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wanted = None
+    for rows in ("10000", "37"):  # the result depends on no session setting
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        got = packing.pack_documents(docs.coalesce(1), queries.tokenizer_path(), batch=300).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert wanted is None or got == wanted
+        wanted = got
+    load = collections.Counter()
+    for p in got:
+        load[p["step_group"]] += p["length"]
+    most, least = max(load.values()), min(load.values())
+    assert most < 16 * 2048 + 2048 and least > 0.9 * most or len(load) < 4, load
+
+
+def test_deal():
+    sizes = [2048] * 40 + [1024] * 9 + [256] * 7
+    groups, n = packing.deal(sizes, 32_768)
+    load = [sum(s for s, g in zip(sizes, groups) if g == k) for k in range(n)]
+    assert n == -(-sum(sizes) // 32_768) and max(load) - min(load) <= 256 and packing.deal([], 5) == ([], 1)
+
+
 def test_isotonic_rises():
     _, levels = rff.isotonic(np.arange(5.0), np.ones(5), np.array([0, 1, 0, 1, 1.0]))
     assert list(levels) == [0, 0.5, 1]

@@ -1,11 +1,12 @@
 """Each stage's decisions against brute force; nulls, repeated rows and clashing columns through all of them."""
 
+import collections
 import zlib
 
 import numpy as np
 
 import corpus_pipeline
-from orrery.llm import queries
+from orrery.llm import queries, rff
 from tests.llm import edge
 from tests.llm.test_text_operators import brute_components
 
@@ -48,10 +49,41 @@ def test_run(spark):
 
 
 def test_edges(spark):
-    for docs in (edge.documents(spark), edge.empty(spark)):
-        for _, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, SF)
-            rows = out.collect()
-            if stage is not corpus_pipeline.pack:
-                assert out.columns == docs.columns
-                docs = spark.createDataFrame(rows, docs.schema)
+    """Rows with nulls, empty and long texts, ties, repeated rows and clashing names: which of them each stage keeps, and with what values."""
+    docs = edge.documents(spark)
+    rows = sorted(map(tuple, docs.collect()), key=str)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        kept[name] = sorted(map(tuple, out.collect()), key=str)
+    score = {r["doc_id"]: r["score"] for r in rff.score_documents(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    none = lambda t: not (t or "").strip()
+    assert len({score[r[0]] for r in rows if none(r[1]) and r[0] in (2, 3)}) == 1 and score[5] == score[6] and score[1] == score[7]
+    got = collections.Counter(kept["quality"])
+    assert all((got[r] > 0) == (score[r[0]] >= 0.5) and got[r] in (0, rows.count(r)) for r in rows)
+    by_text = collections.defaultdict(set)
+    for r in rows:
+        by_text[r[1] or ""].add(r in kept["quality"])
+    assert all(len(v) == 1 for v in by_text.values())
+    assert kept["near_copies"] == [r for r in rows if r[0] not in (6, 7)]
+    assert kept["benchmark"] == kept["personal_data"] == rows
+    lengths = collections.Counter()
+    for p in corpus_pipeline.pack(spark, docs, SF).collect():
+        lengths[p["doc_id"], p["doc_tokens"]] += p["length"]
+    assert lengths[2, 1] == lengths[3, 1] == 1 and sum(n for (i, _), n in lengths.items() if i == 7) == 2 * sum(n for (i, _), n in lengths.items() if i == 1) and any(i is None for i, _ in lengths)
+    assert sum(n for (i, _), n in lengths.items() if i == 5) > 2048
+
+
+def test_empty_tables(spark):
+    docs = edge.empty(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and (stage is corpus_pipeline.pack or out.columns == docs.columns)
+
+
+def test_rows_through_all_stages(spark):
+    docs = edge.documents(spark)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+    assert {r["key"] for r in docs.collect()} <= {"k"} and corpus_pipeline.pack(spark, docs, SF).count() > 0

@@ -140,6 +140,22 @@ def test_substrings(spark, source, monkeypatch):
     assert have == sorted((str(r["doc_id"]), *want[(r["doc_id"] if r["doc_id"] is not None else 1 << 62), (r["text"] or "").encode()]) for r in rows)
 
 
+@pytest.mark.parametrize("limits", ["batches", "rounds"])
+def test_substrings_phrase_in_all_documents(spark, monkeypatch, limits):
+    """A phrase too short to be removed, in all documents with other words around it, and at times with 40 or 70 bytes more in common."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n))
+    phrase, before, after = noise(64), noise(60), noise(90)
+    rows = [(i, noise(rng.randint(60, 130)) + (before if i % 3 == 0 else "") + phrase + (after[: rng.choice([10, 40, 70])] if i % 4 == 0 else "") + noise(rng.randint(60, 130))) for i in range(700)]
+    monkeypatch.setattr(substrings, "CHUNK", 100)
+    monkeypatch.setattr(substrings, "FREQUENT", 50 if limits == "batches" else 1 << 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_substrings([{"doc_id": i, "text": t} for i, t in rows])
+    got = substrings.dedup(docs).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted((i, *want[i, t.encode()]) for i, t in rows)
+    assert 0 < sum(r["n_removed"] > 0 for r in got) < 700
+
+
 def test_substrings_edges(spark):
     assert substrings.dedup(edge.empty(spark)).count() == 0
     rng = random.Random(4)
@@ -200,13 +216,19 @@ def test_surrogates(spark):
     assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
     assert text[None] == f"ip {b[4]}" and all(0 <= int(x) <= 255 for x in b[4].split("."))
     c = re.search(r"^Mrs\. (\w+) met Mr (\w+) and Mrs (\w+); (\w+) (\w+) wrote\. Г-н (\w+), г-жа (\w+)\. ssn \d{3}-\d{2}-\d{4}$", text[3])
-    assert c[1] == c[3] != c[2] and c[6] != 'Иванов' and c[4] in surrogates.GIVEN["latin", "f"] and re.fullmatch(r"[А-Яа-я]+", c[7])
+    assert c[1] == c[2] == c[3] and c[6] != 'Иванов' and c[4] in surrogates.GIVEN["latin", "f"] and re.fullmatch(r"[А-Яа-я]+", c[7])
     assert re.search(r'token = "[0-9a-f]{40}" iban DE[0-9A-Z]{20}$', text[4])
     x, y = text[8].split()
     assert x != y and x.split("@")[1] == y.split("@")[1]
     again = {r["doc_id"]: r["text"] for r in surrogates.replace(docs).collect()}
     assert again == text and surrogates.replace(docs, key="other").where("doc_id = 2").first()["text"] != text[2]
-    assert surrogates.replace(edge.empty(spark)).count() == 0 and surrogates.replace(edge.documents(spark)).count() == 14
+    assert surrogates.replace(edge.empty(spark)).count() == 0
+    same = lambda df: sorted(map(str, df.collect()))
+    odd = surrogates.replace(edge.documents(spark))
+    assert same(odd.drop("n_entities")) == same(edge.documents(spark)) and not odd.where("n_entities <> 0").count()
+    long = "no one here " * 20_000 + "mail q@mail7.example.com " + "no one here " * 20_000
+    row = surrogates.replace(spark.createDataFrame([(1, long), (1, long)], "doc_id long, text string")).collect()
+    assert row[0] == row[1] and row[0]["n_entities"] == 1 and "mail7" not in row[0]["text"] and row[0]["text"].count("no one here ") == 40_000
 
 
 def test_surrogates_glued_to_a_word(spark):
@@ -239,7 +261,7 @@ def test_surrogate_phones_are_distinct_as_rendered(spark):
 
 def test_surrogate_space_grows(spark):
     """More surnames of a class than four syllables make, and more numbers than their format has."""
-    names = spark.range(70_000).selectExpr("'name' as kind", "concat('m:x', cast(id as string)) as canon")
+    names = spark.range(70_000).selectExpr("'family' as kind", "concat('x', cast(id as string)) as canon")
     codes = spark.range(900).selectExpr("'ssn' as kind", "lpad(cast(id as string), 3, '0') as canon")
     rows = surrogates.assign(names.unionByName(codes)).collect()
     assert len(rows) == len({(r["kind"], r["surrogate"]) for r in rows}) == 70_900 and not {(r["kind"], r["canon"]) for r in rows} & {(r["kind"], r["surrogate"]) for r in rows}
@@ -247,6 +269,65 @@ def test_surrogate_space_grows(spark):
     assert longer.first()[0] == "45678"
 
 
+def test_surrogate_coreference(spark):
+    rows = [
+        "Anna Berg met Mrs Berg and Dr. Berg. MRS BERG", "My name is Heinrich Zweig.", "On Monday Yuki Tanaka wrote: ok", "Yuki Tanaka <y.t@mail7.example.com>", "Dear Heinrich Zweig, and Hello World", "Г-н Петров и г-жа Петрова",
+        "+1 555 123 4567 or (555) 123-4567 or 555-123-4567; +49 30 1234567 or +49 030 1234567", "DE89 3704 0044 0532 0130 00 and DE89370400440532013000; bad DE00370400440532013000", "fe80::1ff:fe23:4567:890a and 2001:0db8:85a3:0000:0000:8a2e:0370:7334; at 12:30:45, std::vector a::b",
+        "Mr O'Neil-Smith, Mr Oak", "Maria Berg and Anna Berg",
+    ]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    t = {r["doc_id"]: r["text"] for r in surrogates.replace(docs).collect()}
+    a = re.fullmatch(r"(\w+) (\w+) met Mrs (\w+) and Dr\. (\w+)\. MRS BERG", t[0])
+    assert a[1] in surrogates.GIVEN["latin", "f"] and a[2] == a[3] == a[4] and "Berg" not in a[0].split(" met")[0]
+    b = re.fullmatch(r"My name is (\w+) (\w+)\.", t[1])
+    assert re.fullmatch(rf"Dear {b[1]} {b[2]}, and Hello World", t[4]) and {b[1], b[2]}.isdisjoint({"Heinrich", "Zweig"})
+    c = re.fullmatch(r"On Monday (\w+ \w+) wrote: ok", t[2])
+    assert t[3].startswith(c[1] + " <") and c[1] != "Yuki Tanaka" and "mail7" not in t[3]
+    d = re.fullmatch(r"Г-н (\w+ов) и г-жа (\w+ова)", t[5])
+    assert d and "Петров" not in t[5]
+    e = [re.sub(r"\D", "", x) for x in re.split(r" or |; ", t[6])]
+    assert e[0] == "1" + e[1] and e[1] == e[2] != "5551234567" and e[3][:2] == "49" and e[4] == "490" + e[3][2:]
+    f = re.fullmatch(r"(DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) and (DE\d{20}); bad (DE\d{20})", t[7])
+    assert f[1].replace(" ", "") == f[2] and int(f[2][4:] + "1314" + f[2][2:4]) % 97 == 1 and f[3] != f[2]
+    g = re.fullmatch(r"(\S+) and (\S+); at 12:30:45, std::vector a::b", t[8])
+    import ipaddress
+
+    assert len({ipaddress.ip_address(x) for x in g.groups()}) == 2 and "fe80" not in t[8]
+    assert "Neil" not in t[9] and "Oak" not in t[9]
+    h = re.fullmatch(r"(\w+) (\w+) and (\w+) (\w+)", t[10])
+    assert h[2] == h[4] == a[2] and h[3] == a[1] != h[1]
+
+
+def test_surrogates_against_brute_force(spark):
+    """Over whole documents: what isn't an entity stays, equal entities get equal surrogates, others others, and none is an entity of the corpus."""
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    numbers = [f"call +1 ({i % 900 + 100}) 555-{i:04d} or {i % 900 + 100}-555-{i:04d}, card {4000_0000_0000_0000 + 7919 * i}, mail a{i}@b{i % 50}.org, Dr Xu{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}o" for i in range(800)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(numbers)], "doc_id long, text string"))
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    find = regex.compile(surrogates.PATTERN)
+    title = regex.compile(rf"^(?:{surrogates._T})\.? ")
+
+    def form(entity):
+        if regex.search(r"^\+|^\(|^\d{3}[.-]\d{3}[.-]\d{4}$", entity):
+            return "phone", regex.sub(r"\D", "", entity)[-10:]
+        return ("number", regex.sub(r"[ -]", "", entity)) if regex.fullmatch(r"[\d -]+", entity) else ("name", title.sub("", entity).lower()) if title.search(entity) else ("text", entity.lower())
+
+    to, n = {}, 0
+    for r in surrogates.replace(docs).collect():
+        text, entities = before[r["doc_id"]] or "", list(find.finditer(before[r["doc_id"]] or ""))
+        assert r["n_entities"] == len(entities)
+        ends = [m.end() for m in entities]
+        pieces = [text[a:m.start()] for a, m in zip([0, *ends], entities)] + [text[ends[-1] if ends else 0 :]]
+        got = regex.fullmatch("(.+?)".join(map(regex.escape, pieces)), r["text"] or "", flags=regex.DOTALL)
+        assert got, (text, r["text"])
+        for m, new in zip(entities, got.groups()):
+            n += 1
+            assert to.setdefault(form(m[0]), form(new)) == form(new), (m[0], new)
+    assert n > 4000 and len(set(to.values())) == len(to) and not set(to) & set(to.values())
+
+
 def test_quotation_links(spark):
     rows = [
         (1, 0, "user", "First question?\nWith two lines."), (1, 1, "assistant", "An answer."), (1, 2, "user", "> first   QUESTION?\n> With two lines.\nMore on the first."),
@@ -278,15 +359,49 @@ def test_quotation_levels_and_passages(spark):
     assert {r["turn"]: r["reply_to"] for r in got} == {0: None, 1: None, 2: 0, 3: 1, 4: 1, 5: 0, 6: 3, 7: 1}
 
 
+def talk(conv, n, rng):
+    """A conversation in which messages quote earlier ones, whole, by a block or by a line, at one or two levels, at times edited."""
+    words = "lime plum fig oat rye corn bean leek kale beet".split()
+    out = []
+    for turn in range(n):
+        text = []
+        for _ in range(rng.randint(0, 2) if turn else 0):
+            lines = [x for x in out[rng.randrange(turn)][2].split("\n") if rng.random() < 0.9]
+            at = rng.randrange(len(lines) + 1)
+            text += [rng.choice(("> ", ">")) + (x.upper() if rng.random() < 0.2 else x) for x in (lines if rng.random() < 0.5 else lines[at : at + 2])]
+            if rng.random() < 0.5:
+                text.append(rng.choice(("", "so " + rng.choice(words), "> someone wrote:")))
+        text += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 3))]
+        out.append((conv, turn, "\n".join(text)))
+    return out
+
+
 def test_quotation_sql(spark):
+    """The registered tables have no quotes: here most messages have, at several levels."""
     import duckdb
 
-    rows = [(1, 0, "u", "Alpha beta\ngamma"), (1, 1, "a", "Delta"), (1, 2, "u", "> alpha BETA\n> gamma\nown"), (1, 3, "a", "> own\n> > Delta\nlast"), (2, 0, "u", "> Delta\nx"), (2, 1, "u", "> x\ny"), (2, 2, "u", None)]
-    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rng = random.Random(6)
+    rows = [(1, 0, "Alpha beta\ngamma"), (1, 1, "Delta"), (1, 2, "> alpha BETA\n> gamma\nown"), (1, 3, "> own\n> > Delta\nlast"), (1, 4, "> edited\n>> alpha beta\n>> gamma\nx"), (2, 0, "> Delta\nx"), (2, 1, "> x\ny"), (2, 2, None)]
+    for conv in range(3, 40):
+        rows += talk(conv, 9, rng)
+    rows += [(50, 0, "the passage")] + [(50, i, "> the passage\nyes " + str(i)) for i in range(1, 60)]
+    docs = spark.createDataFrame([(a, b, "u", t) for a, b, t in rows], "conv_id long, turn long, role string, text string")
     con = duckdb.connect()
-    con.execute("CREATE TABLE conversations AS SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, '{c}', {'NULL' if t is None else repr(t).replace(chr(92) + 'n', chr(10))})" for a, b, c, t in rows) + ") t(conv_id, turn, role, text)")
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, 'u', ?)", [list(r) for r in rows])
     want = con.execute(f"SELECT conv_id, turn, role, text, reply_to, thread, depth, quote_levels, n_quoted_lines, position FROM ({quotes.SQL})").fetchall()
-    assert sorted(map(str, (tuple(r) for r in quotes.link(docs).collect()))) == sorted(map(str, want))
+    got = [tuple(r) for r in quotes.link(docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert sum(r[4] is not None for r in got) > 150 and max(r[6] for r in got) > 3 and max(r[7] for r in got) > 1
+
+
+def test_quotation_of_long_texts(spark):
+    """Very long messages, a long chain of replies, and a column named like a helper."""
+    long = "\n".join(f"line {i} of a long message" for i in range(20_000))
+    rows = [(1, 0, long), (1, 1, "\n".join("> " + x for x in long.split("\n")) + "\nshort")] + [(2, i, (f"> step {i - 1}\n" if i else "") + f"step {i}") for i in range(200)]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link(spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, text string, h long, root long")).collect()}
+    assert got[1, 1]["reply_to"] == 0 and got[1, 1]["text"] == "short" and got[1, 1]["n_quoted_lines"] == 20_000 and got[1, 0]["text"] == long
+    assert all(got[2, i]["depth"] == i and got[2, i]["thread"] == 0 and got[2, i]["position"] == i and got[2, i]["root"] == 2 for i in range(200))
 
 
 def test_templates(spark):
@@ -307,6 +422,53 @@ def test_templates(spark):
     assert templates.find(edge.documents(spark), bench).count() == 0
 
 
+def test_templates_in_blocks_of_the_benchmark(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(str, templates.find(docs, bench).collect()))
+    monkeypatch.setattr(templates, "BLOCK", 1000)
+    assert whole and sorted(map(str, templates.find(docs, bench).collect())) == whole
+
+
+def test_templates_names_and_numbers(spark):
+    """Names that begin a sentence or have two words, number words, other languages, short items, cases and marks."""
+    one = "Sarah has 12 apples and buys 7 more at the market. Sarah gives 4 of them to Tom Brown. How many apples does Sarah have left?"
+    two = "Mary Jones and John Smith drove 60 km to the coast on Monday, then Mary Jones walked sixteen miles back while John Smith slept near the old mill."
+    drei = "Der alte Bauer hat einundzwanzig Kühe und vierzig Schafe, verkauft davon sieben Kühe und gibt dem Nachbarn zwanzig Schafe zurück, bevor der Winter kommt."
+    items = [(1, one), (2, two), (3, drei), (4, "What is 17 times 23?"), (5, "3, 5, 8, 13, 21, 34, 55, 89, 144"), (6, "Yes"), (7, "?!")]
+    say = "some other words go here and are not in any item. "
+    docs = [
+        (10, say + one), (11, say + one.replace("Sarah", "Emma").replace("Tom Brown", "Li Wei Chen").replace("12", "31")), (12, one.lower() + say), (13, one.upper()), (14, one.replace("12", "twelve").replace("4 of", "twenty-one of")),
+        (20, two), (21, two.replace("Mary Jones", "Ann Lee").replace("John Smith", "Carl").replace("sixteen", "fourteen")), (22, two.replace("sixteen", "one hundred and two").replace("one hundred and two", "forty two")),
+        (30, drei.replace("einundzwanzig", "dreiunddreißig").replace("vierzig", "90")), (40, say + "what is 17 times 23"), (41, "What is 18 times 29?"), (50, "so 3 5 8 13 21 34 55 89 144 on"), (51, "3, 5, 8, 13, 21, 34, 55, 89, 145, 3"), (60, "yes!"), (61, "Yes it is"),
+        (70, " ".join(one.split()[:12])), (71, one[:60]), (72, say * 3),
+    ]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in templates.find(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    same, other = "verbatim", "re-parameterised"
+    want = {
+        (10, 1): same, (11, 1): other, (12, 1): same, (13, 1): same, (14, 1): other, (20, 2): same, (21, 2): other, (22, 2): other, (30, 3): other, (40, 4): same, (50, 5): same, (60, 6): same,
+        (51, 5): "partial",
+    }
+    assert {k: v for k, v in got.items() if k[0] < 70} == want and not any(d == 72 for d, _ in got)
+
+
+def test_templates_recall_of_changed_items(spark):
+    """Of word problems with other names, numbers and units, at least 0.9 are found, and none of different problems."""
+    rng = random.Random(8)
+    nouns = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(400)]
+    names, counts = ["Anna", "Boris Klein", "Chen", "Dora", "Emil Stone", "Fatima"], ["3", "12", "forty", "1,250", "seven", "two hundred", "twenty-one"]
+    shape = lambda: [rng.choice(("n", "n", "n", "n", "N", "#", ".")) for _ in range(45)]
+    fill = lambda shape, words, who, many: " ".join({"N": who[i % 2], "#": many[i % 3], ".": "."}.get(c) or words[i] for i, c in enumerate(shape))
+    items, docs = [], []
+    for k in range(40):
+        form, words = shape(), [rng.choice(nouns) for _ in range(45)]
+        items.append((k, fill(form, words, rng.sample(names, 2), rng.sample(counts, 3))))
+        docs.append((k, "lead in text. " + fill(form, words, rng.sample(names, 2), rng.sample(counts, 3)) + " . and so on"))
+        docs.append((100 + k, fill(form, [rng.choice(nouns) for _ in range(45)], names[:2], counts[:3])))
+    got = {(r["doc_id"], r["item_id"]) for r in templates.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((k, k) in got for k in range(40)) >= 36 and all(d == i for d, i in got), got
+
+
 def test_templates_find_planted_items(spark):
     sf = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
