@@ -329,7 +329,7 @@ def violations_pk(spark, sf_dir):
     number = {"type": "int", "constraints": ["pk"]}
     engine.create_dataset("lines", "table", {"l_orderkey": number, "l_linenumber": number, "l_partkey": "int"})
     refused = engine.violations("lines", data(spark, sf_dir, "lineitem", engine).project("l_orderkey", "l_linenumber", "l_partkey"))
-    return refused.where("code = 'primary_key'").select("row.*")
+    return refused.where("code = 'primary_key'").select("row.*").withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)")

@@ -186,6 +186,8 @@ def _compare(p: Mapping, fields: Mapping[str, QLType | None], positive: bool) ->
             return flip(F.array_contains(c, literal(value, t.bare.args[0])))
         return flip(F.map_contains_key(c, literal(value, t.bare.args[0])) if kind == "map" else c.contains(F.lit(value)))
     test = c.startswith(value) if op == "startsWith" else c.endswith(value) if op == "endsWith" else c.rlike(value)
+    if p.get("strict"):  # null is an error in place of false
+        test = F.when(null, F.raise_error(F.lit(f"[orrery:type_mismatch] {name} is null")).cast("boolean")).otherwise(test)
     return flip(test)
 
 

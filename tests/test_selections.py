@@ -108,6 +108,10 @@ def test_predicates(spark):
     assert at("f", ">", 1) == [1] and no("f", ">", 1) == [2, 3] and at("f", "<", 9) == [1]
     assert at("n", "in", [5, None]) == [1, 2] and no("n", "in", [5, None]) == [3] and no("n", "in", [5]) == [2, 3] and at("n", "in", []) == []
     assert at("t", "contains", "b") == [1, 3] and at("t", "startsWith", "a") == [1] and at("t", "endsWith", "c") == [1, 3] and at("t", "matches", "^.b") == [1]
+    for op in ("startsWith", "endsWith", "matches"):
+        assert at("t", op, "zz") == [] and no("t", op, "a") == [i for i in (1, 2, 3) if i not in at("t", op, "a")]
+        assert code(lambda op=op: s.where({"field": "t", "op": op, "value": "a", "strict": True}).consume()) == "type_mismatch"
+        assert ids(s.where({"field": "id", "op": "!=", "value": 2}).where({"field": "t", "op": op, "value": "a", "strict": True})) == [i for i in at("t", op, "a") if i != 2]
     assert at("tags", "contains", "x") == [1, 3] and at("m", "contains", "k") == [1] and at("e", "=", "a") == [1, 3] and no("tags", "contains", "x") == [2]
     for bad, want in ((("n", "=", "x"), "invalid_operand"), (("n", "~", 1), "unknown_operator"), (("t", "matches", "("), "invalid_pattern"), (("zz", "=", 1), "unknown_field"), (("tags", ">", 1), "invalid_operand"), (("n", "in", 3), "invalid_operand"), (("e", "=", "zz"), "invalid_operand")):
         assert code(lambda b=bad: at(*b)) == want
