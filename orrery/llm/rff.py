@@ -60,6 +60,7 @@ class Model:
     beta: np.ndarray
     steps: np.ndarray
     levels: np.ndarray
+    constant: float | None = None  # every score, where nothing could be learned
 
     def features(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
@@ -69,6 +70,8 @@ class Model:
         return self.features(x) @ self.beta
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(x), self.constant)
         raw = np.clip(self.raw(x), -1.0, 2.0)
         # A thousandth of the raw score keeps apart what one level of the step function would tie.
         return np.clip(0.999 * np.interp(raw, self.steps, self.levels) + 0.001 * (raw + 1) / 3, 0.0, 1.0)
@@ -127,8 +130,9 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 200, gamma: float =
     n, ones = sums["n"], sums["ones"] or 0.0
     rng = np.random.default_rng(SEED)
     mean, scale = (np.array([sums[f"{g}{i}"] or 0.0 for i in range(width)]) for g in "ms")
-    model = Model(mean, np.where(scale > 1e-9, scale, 1.0), rng.normal(0, np.sqrt(2 * gamma), (width, features)), rng.uniform(0, 2 * np.pi, features), np.zeros(features + 1), np.array([0.0]), np.array([ones / n if n else 0.5]))
+    model = Model(mean, np.where(scale > 1e-9, scale, 1.0), rng.normal(0, np.sqrt(2 * gamma), (width, features)), rng.uniform(0, 2 * np.pi, features), np.zeros(features + 1), np.array([0.0]), np.array([0.5]))
     if not n or ones in (0, n):
+        model.constant = ones / n if n else 0.5
         return model
     gram, moment, m = normal_equations(train.where("not calibrates"), model, partitions)
     if not m:

@@ -186,7 +186,14 @@ def test_quality_classifier_edges(spark):
     for used in (labels, labels.limit(0)):
         got = rff.score_documents(edge.documents(spark), used).collect()
         assert len(got) == 14 and all(0 <= r["score"] <= 1 for r in got)
+        assert used is labels or all(r["score"] == 0.5 and r["predicted"] == 1 for r in got)
     assert rff.score_documents(edge.empty(spark), labels).count() == 0
+    # Nothing to learn from: nothing is rejected. One class alone: its share is every score.
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(rff.keep(edge.documents(spark), labels.limit(0))) == rows(edge.documents(spark))
+    for q in (0, 1):
+        one = spark.createDataFrame([(i, q) for i in range(1, 13)], "doc_id long, quality int")
+        assert {r["score"] for r in rff.score_documents(edge.documents(spark), one).collect()} == {float(q)}
 
 
 def test_quality_classifier_against_numpy(spark):
